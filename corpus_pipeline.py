@@ -1,12 +1,72 @@
-"""Corpus pipeline: language ID, quality classifier, near-dedup, decontamination, tokenisation."""
+"""Corpus pipeline: language ID, quality classifier, near-dedup, decontamination, tokenisation.
+
+Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read
+again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import decontaminate, langid, quality, sentencepiece_codec, simhash
+from quern.llm.common import table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A language must have at least this share of a text's letters; the others go.
+LEAST_SHARE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a learned language that has at least half of the letters."""
+    model = langid.fit(docs)
+    marked = langid.predict(docs.select(COLUMNS), model, "text", COLUMNS, spans=False)
+    return marked.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(COLUMNS)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that the scorer holds for good."""
+    return quality.classify(docs.select(COLUMNS), quality.fit(docs)).where("quality_keep").select(COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near copies."""
+    return simhash.keep_first(docs.select(COLUMNS)).select(COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes documents that hold a window of a benchmark item."""
+    return decontaminate.remove_documents(docs.select(COLUMNS), table(spark, sf_dir, "benchmark")).select(COLUMNS)
+
+
+def sentencepiece_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document, with digests of the ids and of the decoded text."""
+    encoded = sentencepiece_codec.encode(docs.select(COLUMNS), public_tokenizers.path("piece_bpe_32k.model"), "text", ["doc_id", "lang", "source", "n_chars"])
+    return encoded.drop("decoded")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("sentencepiece_tokens", sentencepiece_tokens),
+]
 
-STAGES: list = []
+#: SQL can express neither the learned stages nor the tokeniser.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``; each result lies in the shared checkpoint folder."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-pipeline-")
+    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

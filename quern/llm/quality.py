@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import cut_lineage
+
 GOOD, BAD, ABSTAIN = 1, 0, 2
 SLOTS = 4096
 SEED = 7
@@ -64,7 +66,7 @@ def with_votes(rows: DataFrame, text_col: str, out: str = "votes") -> DataFrame:
     rows = rows.select(*names, "__q_marks", *[v.alias(f"__q_{k}") for k, v in measured.items()])
     m = {k: F.col(f"__q_{k}") for k in (*measured, "marks")}
     words = F.greatest(m["words"], F.lit(1))
-    known = F.size(F.filter(m["bare"], lambda w: F.lower(w).isin(FUNCTION_WORDS)))
+    known = F.size(F.filter(m["bare"], lambda w: w.isin([*FUNCTION_WORDS, *(w.capitalize() for w in FUNCTION_WORDS)])))
     exclamations, bars = (F.length(m["marks"]) - F.length(F.replace(m["marks"], F.lit(c), F.lit(""))) for c in "!|")
 
     def vote(share: Column, bad: float, good: float | None = None, least: int = 3) -> Column:
@@ -200,7 +202,8 @@ def fit(docs: DataFrame, text_col: str = "text", max_train_docs: int = 3000, thr
     posteriors = _literal(labels.posterior(votes_of(np.arange(3**k), k)))
     share = min(1 << 20, (max_train_docs << 20) // total + 1)
     rows = docs.select(F.col(text_col).alias("text")).where(F.trim("text") != "").withColumn("key", F.xxhash64("text"))
-    sample = rows.where(F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1 << 20)) < share)
+    # Written down first: else the planner computes the slots of every row to test their size.
+    sample = cut_lineage(rows.where(F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1 << 20)) < share))
     slots = with_slots(with_votes(sample, "text"), "text").select("key", F.get(posteriors, F.col("votes")).alias("y"), F.explode("slots").alias("slot"))
     found = slots.groupBy("key", "slot").agg(F.count("*").alias("n"), F.first("y").alias("y")).toPandas()
     if not len(found):

@@ -29,7 +29,7 @@ def text_file(spark: SparkSession, path: str, max_files: int | None = None, parq
     if parquet or path.endswith(".parquet"):
         return spark.read.parquet(*paths)
     if not paths:
-        return spark.createDataFrame([], "value string")
+        return spark.createDataFrame([], "value string, _file string, _pos long" if positions else "value string")
     lines = spark.read.text(paths)
     return lines.select("value", F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_pos")) if positions else lines
 

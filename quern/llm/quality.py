@@ -44,6 +44,11 @@ FUNCTION_WORDS = [
 LABELLERS = ("symbols", "capitals", "exclamations", "bars", "repeats", "variety", "adjacent_variety", "clean_words", "function_words")
 
 
+def has_text(text: Column) -> Column:
+    """Whether there is anything but white space."""
+    return F.coalesce(text.rlike(r"\S"), F.lit(False))
+
+
 def with_votes(rows: DataFrame, text_col: str, out: str = "votes") -> DataFrame:
     """``rows`` and the labellers' votes, as one number in base 3, first labeller least.
 
@@ -126,7 +131,7 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, names: list[
         hits = np.stack([weight @ (votes == v) for v in (BAD, GOOD, ABSTAIN)], axis=2)
         model = LabelModel(names, float(np.clip(weight[1].sum() / max(counts.sum(), 1e-9), 0.01, 0.99)), (hits + 0.5) / (hits.sum(axis=2, keepdims=True) + 1.5))
         before, good = good, model.posterior(votes)
-        if np.abs(good - before).max() < 1e-6:
+        if np.abs(good - before).max(initial=0) < 1e-6:
             break
     return model
 
@@ -137,7 +142,7 @@ def votes_of(patterns: np.ndarray, k: int) -> np.ndarray:
 
 def fit_labels(docs: DataFrame, text_col: str = "text") -> tuple[LabelModel, int]:
     """The label model of all texts that are not blank, and their number."""
-    text = docs.select(F.col(text_col).alias("text")).where(F.trim("text") != "")
+    text = docs.select(F.col(text_col).alias("text")).where(has_text(F.col("text")))
     rows = with_votes(text, "text").groupBy("votes").count().collect()
     patterns = np.array([r["votes"] for r in rows], dtype=np.int64)
     counts = np.array([r["count"] for r in rows], dtype=float)
@@ -177,7 +182,7 @@ class Scorer:
         names, table, text = rows.columns, _literal(self.weights), F.col(f"`{text_col}`")
         total = F.aggregate("__q_slots", F.lit(0.0), lambda s, i: s + F.get(table, i))
         score = 1 / (1 + F.exp(-(total / (F.size("__q_slots") + PRIOR_SLOTS) + self.bias)))
-        return with_slots(rows, text_col, "__q_slots").select(*names, F.when(F.trim(F.coalesce(text, F.lit(""))) == "", 0.0).otherwise(score).alias(out))
+        return with_slots(rows, text_col, "__q_slots").select(*names, F.when(has_text(text), score).otherwise(0.0).alias(out))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, bias: float, rounds: int = 400, l2: float = 1e-3) -> np.ndarray:
@@ -201,7 +206,7 @@ def fit(docs: DataFrame, text_col: str = "text", max_train_docs: int = 3000, thr
     k = len(labels.names)
     posteriors = _literal(labels.posterior(votes_of(np.arange(3**k), k)))
     share = min(1 << 20, (max_train_docs << 20) // total + 1)
-    rows = docs.select(F.col(text_col).alias("text")).where(F.trim("text") != "").withColumn("key", F.xxhash64("text"))
+    rows = docs.select(F.col(text_col).alias("text")).where(has_text(F.col("text"))).withColumn("key", F.xxhash64("text"))
     # Written down first: else the planner computes the slots of every row to test their size.
     sample = cut_lineage(rows.where(F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1 << 20)) < share))
     slots = with_slots(with_votes(sample, "text"), "text").select("key", F.get(posteriors, F.col("votes")).alias("y"), F.explode("slots").alias("slot"))
@@ -225,5 +230,5 @@ def classify(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFra
     """All columns and quality_score, quality_keep (columns of these names are replaced)."""
     rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("quality_score", "quality_keep")])
     scored = scorer.add_score(rest, text_col)
-    keep = (F.col("quality_score") >= scorer.threshold) & (F.trim(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) != "")
+    keep = (F.col("quality_score") >= scorer.threshold) & has_text(F.col(f"`{text_col}`"))
     return scored.withColumn("quality_keep", keep)

@@ -2,7 +2,9 @@
 
 Rows are typed; a keyed dataset has the columns ``key`` and ``value``. Positions are explicit:
 an ordered dataset carries hidden columns that narrow operators keep, wide ones drop and sorting
-puts a key in front of. Nothing runs before an action.
+puts a key in front of. As long as the partitions themselves lie in that order (sources, narrow
+operators, unions) no action sorts: rows are taken, streamed and saved as they lie. Nothing runs
+before an action.
 """
 
 from __future__ import annotations
@@ -59,9 +61,10 @@ class Context:
 
 
 class Dataset:
-    def __init__(self, df: DataFrame, directions: tuple[bool, ...] = ()):
-        """``directions``: of each hidden order column, whether it ascends."""
-        self.hidden_df, self.directions = df, directions
+    def __init__(self, df: DataFrame, directions: tuple[bool, ...] = (), natural: bool = True):
+        """``directions``: of each hidden order column, whether it ascends. ``natural``: whether
+        the rows lie in that order, partition by partition."""
+        self.hidden_df, self.directions, self.natural = df, directions, natural
 
     @classmethod
     def _positioned(cls, df: DataFrame) -> Dataset:
@@ -84,11 +87,11 @@ class Dataset:
         return [ordering.direction(c, up != reverse) for c, up in zip(self._hidden, self.directions, strict=True)]
 
     def ordered(self) -> DataFrame:
-        rows = self.hidden_df.orderBy(*self._order()) if self.directions else self.hidden_df
+        rows = self.hidden_df if self.natural else self.hidden_df.orderBy(*self._order())
         return rows.select(*[F.col(f"`{c}`") for c in self.columns])
 
     def _narrow(self, *exprs: Column | str) -> Dataset:
-        return Dataset(self.hidden_df.select(*exprs, *self._hidden), self.directions)
+        return Dataset(self.hidden_df.select(*exprs, *self._hidden), self.directions, self.natural)
 
     def _wide(self, df: DataFrame) -> Dataset:
         return Dataset(df)
@@ -107,7 +110,7 @@ class Dataset:
             return self._wide(narrow.flat_map(self.df, c, name, *keep))
         rows = self.hidden_df.select(*keep, *self._hidden, F.posexplode(c).alias("__i", name))
         last = self._hidden[-1]
-        return Dataset(rows.withColumn(last, F.concat(last, F.array(F.col("__i").cast("long")))).select(*keep, name, *self._hidden), self.directions)
+        return Dataset(rows.withColumn(last, F.concat(last, F.array(F.col("__i").cast("long")))).select(*keep, name, *self._hidden), self.directions, self.natural)
 
     def map_values(self, expr: Column) -> Dataset:
         return self._narrow("key", expr.alias("value"))
@@ -116,7 +119,7 @@ class Dataset:
         return self.flat_map(array, "value", "key")
 
     def filter(self, condition: Column | str) -> Dataset:
-        return Dataset(narrow.filter_rows(self.hidden_df, condition), self.directions)
+        return Dataset(narrow.filter_rows(self.hidden_df, condition), self.directions, self.natural)
 
     def filter_udf(self, function: Callable[[dict], object]) -> Dataset:
         return self._wide(narrow.filter_udf(self.df, function))
@@ -128,16 +131,16 @@ class Dataset:
         return self._narrow("value")
 
     def sample(self, with_replacement: bool, fraction: float, seed: int = 0) -> Dataset:
-        return Dataset(sampling.sample(self.hidden_df, with_replacement, fraction, seed), self.directions)
+        return Dataset(sampling.sample(self.hidden_df, with_replacement, fraction, seed), self.directions, self.natural)
 
     def union(self, other: Dataset) -> Dataset:
         if not (self.directions == other.directions == (True,)):
             return self._wide(sets.union(self.df, other.df))
         side = lambda d, i: d.hidden_df.withColumn(f"{HIDDEN}0", F.concat(F.array(F.lit(i).cast("long")), f"{HIDDEN}0"))
-        return Dataset(side(self, 0).union(side(other, 1)), (True,))
+        return Dataset(side(self, 0).union(side(other, 1)), (True,), self.natural and other.natural)
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Dataset:
-        return Dataset(partitioning.persist(self.hidden_df, level), self.directions)
+        return Dataset(partitioning.persist(self.hidden_df, level), self.directions, self.natural)
 
     def unpersist(self) -> Dataset:
         self.hidden_df.unpersist()
@@ -186,13 +189,13 @@ class Dataset:
         """A key in front of the order at hand; equal keys keep it. Sorted once, by the action."""
         shifted = [F.col(c).alias(f"{HIDDEN}{i + 1}") for i, c in enumerate(self._hidden)]
         rows = self.hidden_df.select(*[F.col(f"`{c}`") for c in self.columns], as_column(key).alias(f"{HIDDEN}0"), *shifted)
-        return Dataset(rows, (ascending, *self.directions))
+        return Dataset(rows, (ascending, *self.directions), False)
 
     def sort_by_key(self, ascending: bool = True) -> Dataset:
         return self.sort_by("key", ascending)
 
     def partition_by(self, partitioner: partitioning.HashPartitioner | partitioning.RangePartitioner | partitioning.CustomPartitioner, key: Column | str = "key") -> Dataset:
-        return Dataset(partitioning.partition_by(self.hidden_df, partitioner, key), self.directions)
+        return Dataset(partitioning.partition_by(self.hidden_df, partitioner, key), self.directions, not self.directions)
 
     # Actions
 
@@ -218,23 +221,25 @@ class Dataset:
         return [(tuple(r[:-1]), r["count"]) for r in keyed.count_by_value(self.df).collect()]
 
     def take(self, n: int) -> list[Row]:
-        rows = self.hidden_df.orderBy(*self._order()).limit(n) if self.directions else self.hidden_df.limit(n)
-        return Dataset(rows, self.directions).collect()
+        """The first n rows; as they lie it reads no more partitions than it needs."""
+        if self.natural:
+            return self.df.limit(n).collect()
+        return Dataset(self.hidden_df.orderBy(*self._order()).limit(n), self.directions, False).collect()
 
     def first(self) -> Row | None:
         return next(iter(self.take(1)), None)
 
     def top(self, n: int) -> list[Row]:
         """The last n rows, in order."""
-        if not self.directions:
+        if self.natural:
             return self.df.tail(n)
-        return Dataset(self.hidden_df.orderBy(*self._order(reverse=True)).limit(n), self.directions).collect()
+        return Dataset(self.hidden_df.orderBy(*self._order(reverse=True)).limit(n), self.directions, False).collect()
 
     def take_sample(self, with_replacement: bool, n: int, seed: int = 0) -> list[Row]:
         return sampling.take_sample(self.df, with_replacement, n, seed)
 
     def lookup(self, key: object) -> list:
-        return [r[0] for r in Dataset(ordering.lookup(self.hidden_df, key).select("value")).df.collect()] if not self.directions else [r[0] for r in self.filter(F.col("key").eqNullSafe(F.lit(key))).values().collect()]
+        return [r[0] for r in self.filter(F.col("key").eqNullSafe(F.lit(key))).values().collect()]
 
     def for_each(self, function: Callable[[Row], None]) -> None:
         narrow.for_each(self.df, function)

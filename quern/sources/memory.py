@@ -20,7 +20,7 @@ def parallelize(spark: SparkSession, rows: Sequence, schema: str | T.StructType,
     whole = T.StructType([*out.fields, T.StructField("_pos", T.LongType(), False)])
     tuples = [(*(r if isinstance(r, (tuple, list)) else (r,)), i) for i, r in enumerate(rows)]
     df = spark.createDataFrame(tuples, whole)
-    return df.repartitionByRange(partitions, "_pos") if partitions else df
+    return df.repartitionByRange(partitions, "_pos").sortWithinPartitions("_pos") if partitions else df
 
 
 def range_of(spark: SparkSession, start: float, end: float | None = None, step: float = 1, partitions: int | None = None) -> DataFrame:

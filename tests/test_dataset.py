@@ -157,6 +157,18 @@ def test_positions(sc):
     assert sc.parallelize([], "int").first() is None
 
 
+def test_order_survives_partitioning(sc):
+    data = sc.range(20).map(F.col("value").alias("key"), F.col("value")).partition_by(HashPartitioner(3))
+    assert [r["key"] for r in data.collect()] == list(range(20))
+    assert [r["key"] for r in data.top(2)] == [18, 19]
+    assert [r["value"] for r in data.flat_map_values(F.array("value", -F.col("value"))).take(4)] == [0, 0, 1, -1]
+    assert flat(sc.parallelize([5, 4, 3, 2, 1], "int", 3).union(sc.range(2)).collect()) == [5, 4, 3, 2, 1, 0, 1]
+
+
+def test_no_sort_where_rows_lie_in_order(sc):
+    assert "Sort" not in sc.range(9).filter("value > 3").ordered()._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sampling(sc):
     data = sc.range(100)
     assert 0 < data.sample(False, 0.1, 1).count() < 25

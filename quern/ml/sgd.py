@@ -1,7 +1,9 @@
 """Linear models by full-batch gradient descent.
 
 The cached input has one column a feature, so an iteration is one aggregation in generated code:
-the gradient's sums and the count, combined on the map side into one row.
+the gradient's sums and the count, combined on the map side into one row. The weights come in as a
+broadcast row (of a fixed, small size), not as literals, so the generated code is the same in all
+iterations and compiled once.
 """
 
 from __future__ import annotations
@@ -59,17 +61,20 @@ class SGDLinearModel:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         columns = ([F.lit(1.0)] if self.fit_intercept else []) + [F.col(x) for x in names]
         w = ([self.intercept] if self.fit_intercept else []) + [*self.weights, *[0.0] * (n - len(self.weights))][:n]
+        margin = F.lit(0.0)
+        for i, x in enumerate(columns):
+            margin = margin + x * F.col(f"w{i}")
+        pull = self._pull(F.col("y"), margin).alias("g")
+        sums = [*[F.sum(x * F.col("g")) for x in columns], F.count(F.lit(1))]
         try:
-            for t in range(iterations):
-                margin = F.lit(0.0)
-                for x, weight in zip(columns, w, strict=True):
-                    margin = margin + x * F.lit(weight)
-                pulled = rows.select("*", self._pull(F.col("y"), margin).alias("g"))
-                *sums, count = pulled.agg(*[F.sum(x * F.col("g")) for x in columns], F.count(F.lit(1))).first()
+            for t in range(iterations if w else 0):
+                values = ", ".join(f"double('{weight!r}')" for weight in w)
+                weights = df.sparkSession.sql(f"SELECT * FROM VALUES ({values}) AS w({', '.join(f'w{i}' for i in range(len(w)))})")
+                *total, count = rows.crossJoin(F.broadcast(weights)).select(*names, pull).agg(*sums).first()
                 if not count:
                     break
                 step = self.step_size / math.sqrt(t + 1)
-                w = [self._step(a, (g or 0.0) / count, step) for a, g in zip(w, sums, strict=True)]
+                w = [self._step(a, (g or 0.0) / count, step) for a, g in zip(w, total, strict=True)]
         finally:
             rows.unpersist()
         self.intercept, self.weights = (w[0], w[1:]) if self.fit_intercept else (0.0, w)

@@ -7,8 +7,8 @@ A linear scorer over hashed word shapes (single and adjacent ones, as shares of
 shapes) is trained on the posteriors by logistic regression, and scores every document.
 
 Scale: votes are counted by pattern on the executors, at most 3 ** 9 rows reach the driver. The
-scorer is fitted on about ``max_train_docs`` documents, chosen by a hash of the text, as hashed
-counts of at most ``SLOTS`` each. Votes, shapes and scores are column expressions in one narrow
+scorer is fitted on about ``max_train_docs`` distinct texts, chosen by a hash, as hashed counts
+of at most ``SLOTS`` each. Votes, shapes and scores are column expressions in one narrow
 pass, with no shuffle.
 
 Defined cases: null, empty and blank texts have score 0 and are not kept; all else is scored,
@@ -208,21 +208,22 @@ def fit(docs: DataFrame, text_col: str = "text", max_train_docs: int = 3000, thr
     share = min(1 << 20, (max_train_docs << 20) // total + 1)
     rows = docs.select(F.col(text_col).alias("text")).where(has_text(F.col("text"))).withColumn("key", F.xxhash64("text"))
     # Written down first: else the planner computes the slots of every row to test their size.
-    sample = cut_lineage(rows.where(F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1 << 20)) < share))
+    # Copies count once, so that a text with very many of them can't swell the sample.
+    sample = cut_lineage(rows.where(F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1 << 20)) < share).dropDuplicates(["key"]))
     slots = with_slots(with_votes(sample, "text"), "text").select("key", F.get(posteriors, F.col("votes")).alias("y"), F.explode("slots").alias("slot"))
     found = slots.groupBy("key", "slot").agg(F.count("*").alias("n"), F.first("y").alias("y")).toPandas()
     if not len(found):
         return Scorer(np.zeros(SLOTS), 0.0, labels, threshold)
     keys, row = np.unique(found["key"].to_numpy(), return_inverse=True)
-    x = np.zeros((len(keys), SLOTS))
-    x[row, found["slot"].to_numpy()] = found["n"].to_numpy()
+    used, column = np.unique(found["slot"].to_numpy(), return_inverse=True)
+    x = np.zeros((len(keys), len(used)))
+    x[row, column] = found["n"].to_numpy()
     x /= x.sum(axis=1, keepdims=True) + PRIOR_SLOTS
     y = np.zeros(len(keys))
     y[row] = found["y"].to_numpy()
-    used = x.any(axis=0)
     weights = np.zeros(SLOTS)
     bias = float(np.log(labels.prior) - np.log1p(-labels.prior))  # without evidence the prior decides
-    weights[used] = logistic(x[:, used], y, bias)
+    weights[used] = logistic(x, y, bias)
     return Scorer(weights, bias, labels, threshold)
 
 

@@ -180,9 +180,12 @@ class Scorer:
     def add_score(self, rows: DataFrame, text_col: str, out: str = "quality_score") -> DataFrame:
         """``rows`` and P(good); 0 for null and blank texts."""
         names, table, text = rows.columns, _literal(self.weights), F.col(f"`{text_col}`")
+        # Always true, but not deterministic for the planner: else a filter on the score is pushed
+        # down to the scan, where it computes the slots anew for each place that uses them.
+        here = F.monotonically_increasing_id() >= 0
         total = F.aggregate("__q_slots", F.lit(0.0), lambda s, i: s + F.get(table, i))
         score = 1 / (1 + F.exp(-(total / (F.size("__q_slots") + PRIOR_SLOTS) + self.bias)))
-        return with_slots(rows, text_col, "__q_slots").select(*names, F.when(has_text(text), score).otherwise(0.0).alias(out))
+        return with_slots(rows, text_col, "__q_slots").select(*names, F.when(here & has_text(text), score).otherwise(0.0).alias(out))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, bias: float, rounds: int = 400, l2: float = 1e-3) -> np.ndarray:

@@ -197,11 +197,13 @@ def is_held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs_per_lang: int = 4000, max_langs: int = 500, switch_penalty: float = 14.0) -> LanguageModel:
     """Learns from documents that are not held out, about ``max_docs_per_lang`` of each language.
 
-    ``max_langs`` bounds the model (it keeps the languages with the most documents).
+    ``max_langs`` bounds the model; more languages are an error, none is left out.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("id").isNotNull() & ~is_held_out(F.col("id")))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    sizes = rows.groupBy("lang").count().limit(max_langs + 1).collect()
+    if len(sizes) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool), switch_penalty)

@@ -13,23 +13,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker turns into Python objects at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch of whole texts, unless the session sets another number than Spark's own.
+BATCH_ROWS, SPARKS_BATCH_ROWS = 1000, "10000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """An eager, reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which all executors share.
 
-    Only where no folder is set (tests on one machine) a temporary one is taken.
+    Where none is set a temporary one is taken on a single machine; on a cluster that is an error.
     """
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if not context.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="quern-")
+
+
+def few(df: DataFrame) -> DataFrame:
+    """The rows in fewer partitions, two for each core or a 16th of the shuffle's at least, without
+    a shuffle: for results that are much smaller than what the shuffle's number was chosen for."""
+    spark = df.sparkSession
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+
+
+def cut_lineage(df: DataFrame, rows: int | None = None, as_it_lies: bool = False) -> DataFrame:
+    """An eager, reliable checkpoint in the shared folder, in few files (``as_it_lies``: one for each
+    partition); of about ``rows`` rows, if they are known, in no more files than those need."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // 200_000)))
+    return (df if as_it_lies else few(df)).checkpoint()
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` rows for the session: Spark bounds them by rows only, and
+    10,000 whole texts may not fit in a task's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == SPARKS_BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def slices(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -54,6 +84,7 @@ def annotate(
     ``make()`` runs once in each task and returns a function from a string array to the new
     columns' arrays. A kept column whose name (in any case) is also in ``new`` is replaced.
     """
+    short_batches(df.sparkSession)
     schema = T._parse_datatype_string(new) if isinstance(new, str) else new
     taken = {f.name.lower() for f in schema.fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]

@@ -35,13 +35,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
     x, y = F.col(a), F.col(b)
     edges = links.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
     edges = cut_lineage(edges.distinct())
-    state = None
-    for _ in range(max_rounds):
-        edges = cut_lineage(_star(_star(edges, large=True), large=False))
+    state, rows = None, edges.count()
+    for _ in range(max_rounds if rows else 0):
+        edges = cut_lineage(_star(_star(edges, large=True), large=False), rows)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
-        state = now
+        state, rows = now, now[0]
     else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+        if rows:
+            raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

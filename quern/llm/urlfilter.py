@@ -2,18 +2,20 @@
 
 A rule is an action, a host and a path; it fits its host and all subdomains, where the URL's
 path starts with the rule's. Each distinct URL is expanded into the expressions (host suffix +
-path prefix) that a rule could have: suffixes with as many labels, and prefixes as long, as some
-rule has. Expressions meet rules by an equi-join on the first 4 bytes of their SHA-256 digest,
-whole digests confirm, and the longest rule (then the one with the longer host) wins.
+path prefix) that a rule could have. Host suffixes are joined with the rules' hosts first, so that
+a suffix gets only prefixes as long as some rule of that very host has. Suffixes and expressions
+meet hosts and rules by equi-joins on the first 4 bytes of their SHA-256 digests, whole digests
+confirm, and the longest rule (then the one with the longer host) wins.
 
 Scale: only the URL column is read. Copies of a URL are merged before the expansion, so a hot
-URL is one row. Rules are broadcast only if they are at most ``BROADCAST_RULES``, else the join
-shuffles both sides by the short digest. Rows come back by a join on the URL that adaptive
+URL is one row. Rules are broadcast only if they are at most ``BROADCAST_RULES``, else the joins
+shuffle both sides by the short digest. Rows come back by a join on the URL that adaptive
 execution can split.
 
 Defined cases: a null URL and one without ``://`` have an empty host and path and fit no rule;
-a rule's path of no characters fits every path; rules that repeat with different actions block.
-Any other column is kept; ``host``, ``path``, ``rule`` and ``verdict`` are replaced.
+a rule's path of no characters fits every path; rules that repeat with different actions block;
+rules with a null part are left out. Any other column is kept, whatever its name; ``host``,
+``path``, ``rule`` and ``verdict`` are replaced. No rules: every verdict is the default.
 """
 
 from __future__ import annotations
@@ -39,35 +41,46 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", default: str = "allow") -> DataFrame:
+def rule_table(rules: DataFrame) -> DataFrame:
+    """__uf_h, __uf_p and __uf_action of the distinct rules (action, host, path)."""
+    known = rules.select(F.col("action").alias("__uf_action"), F.col("host").alias("__uf_h"), F.col("path").alias("__uf_p")).dropna()
+    odd = known.where(~F.col("__uf_action").isin("allow", "block")).select("__uf_action").first()
+    if odd:
+        raise ValueError(f"no such action: {odd[0]}")
+    return known.groupBy("__uf_h", "__uf_p").agg(F.max("__uf_action").alias("__uf_action"))  # block comes after allow
+
+
+def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """All columns with host, path, rule (host and path of the winner, else null) and verdict."""
     spark = pages.sparkSession
-    best: dict[tuple[str, str], str] = {}
-    for action, host, path in rules:
-        if action not in ("allow", "block"):
-            raise ValueError(f"no such action: {action}")
-        best[host, path] = "block" if "block" in (action, best.get((host, path))) else action
-    names = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     host, path = split_url(F.col(f"`{url_col}`"))
-    parts = pages.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{url_col}`").alias("__url"), host.alias("__host"), path.alias("__path"))
-    if not best:
-        return parts.select(*[F.col(f"`{c}`") for c in names], F.col("__host").alias("host"), F.col("__path").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    table = spark.createDataFrame([(h, p, action) for (h, p), action in best.items()], "rule_host string, rule_path string, action string")
-    digest = F.sha2(F.concat(F.col("rule_host"), F.lit("\0"), F.col("rule_path")), 256)
-    table = table.select("rule_host", "rule_path", "action", digest.alias("rule_digest"), F.substring(digest, 1, PREFIX_HEX).alias("short"))
-    table = F.broadcast(table) if len(best) <= BROADCAST_RULES else table
-
-    sizes = sorted({h.count(".") + 1 for h, _ in best})
-    lengths = sorted({len(p) for _, p in best})
-    labels = F.split("__host", r"\.")
-    suffixes = [F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), ".")) for n in sizes]
-    prefixes = [F.when(F.length("__path") >= n, F.substring("__path", 1, n)) for n in lengths]
-    expressions = F.array_compact(F.array(*[F.sha2(F.concat(s, F.lit("\0"), p), 256) for s in suffixes for p in prefixes]))
-    urls = parts.where(F.col("__url").contains("://")).select(F.col("__url").alias("u"), "__host", "__path").distinct()
-    expanded = urls.select("u", F.explode(expressions).alias("digest")).withColumn("short", F.substring("digest", 1, PREFIX_HEX))
-    fits = expanded.join(table, "short").where(F.col("digest") == F.col("rule_digest"))
-    name = F.concat("rule_host", "rule_path")
-    rank = F.struct(F.length(name).alias("n"), F.length("rule_host").alias("h"), name.alias("rule"), F.col("action").alias("action"))
-    won = fits.groupBy("u").agg(F.max(rank).alias("won"))
-    judged = parts.join(won, F.col("__url") == F.col("u"), "left")
-    return judged.select(*[F.col(f"`{c}`") for c in names], F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("won.rule").alias("rule"), F.coalesce("won.action", F.lit(default)).alias("verdict"))
+    parts = pages.select(*kept, F.col(f"`{url_col}`").alias("__uf_url"), host.alias("__uf_host"), path.alias("__uf_path"))
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(list(rules), "action string, host string, path string")
+    table = rule_table(rules)
+    known = table.agg(F.count("*").alias("n"), F.max(F.size(F.split("__uf_h", r"\."))).alias("labels")).first()
+    few = known["n"] <= BROADCAST_RULES
+    sized = lambda df: F.broadcast(df) if few else df
+
+    def short(digest: str) -> Column:
+        return F.substring(digest, 1, PREFIX_HEX).alias("__uf_short")
+
+    table = table.withColumn("__uf_rule_digest", F.sha2(F.concat("__uf_h", F.lit("\0"), "__uf_p"), 256)).select("*", short("__uf_rule_digest"))
+    hosts = table.groupBy("__uf_h").agg(F.collect_set(F.length("__uf_p")).alias("__uf_lengths"))
+    hosts = hosts.select(F.sha2("__uf_h", 256).alias("__uf_host_digest"), "__uf_lengths").select("*", short("__uf_host_digest"))
+
+    urls = parts.where(F.col("__uf_url").contains("://")).select("__uf_url", "__uf_host", "__uf_path").distinct()
+    labels = F.split("__uf_host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(known["labels"] or 1))), lambda n: F.array_join(F.slice(labels, -n, n), "."))
+    hosted = urls.select("__uf_url", "__uf_path", F.explode(suffixes).alias("__uf_suffix")).withColumn("__uf_digest", F.sha2("__uf_suffix", 256)).select("*", short("__uf_digest"))
+    hosted = hosted.join(sized(hosts), "__uf_short").where(F.col("__uf_digest") == F.col("__uf_host_digest"))
+    lengths = F.filter("__uf_lengths", lambda n: n <= F.length("__uf_path"))
+    prefixes = F.transform(lengths, lambda n: F.sha2(F.concat("__uf_suffix", F.lit("\0"), F.substring(F.col("__uf_path"), F.lit(1), n)), 256))
+    expanded = hosted.select("__uf_url", F.explode(prefixes).alias("__uf_digest")).select("*", short("__uf_digest"))
+    fits = expanded.join(sized(table), "__uf_short").where(F.col("__uf_digest") == F.col("__uf_rule_digest"))
+    name = F.concat("__uf_h", "__uf_p")
+    rank = F.struct(F.length(name).alias("n"), F.length("__uf_h").alias("h"), name.alias("rule"), F.col("__uf_action").alias("action"))
+    won = fits.groupBy("__uf_url").agg(F.max(rank).alias("__uf_won"))
+    judged = parts.join(won, "__uf_url", "left")
+    return judged.select(*kept, F.col("__uf_host").alias("host"), F.col("__uf_path").alias("path"), F.col("__uf_won.rule").alias("rule"), F.coalesce("__uf_won.action", F.lit(default)).alias("verdict"))

@@ -13,16 +13,18 @@ far (E), the slice either splits E or is added to G. What quantising dropped is
 each query, so rows that can't reach the k-th score are out by one more pass over the slices;
 the boundary rows that remain are scored exactly from the block's raw values.
 
-Scale: queries and rows are both dealt into blocks (of ``QUERY_BLOCK`` and ``ROW_BLOCK``
-rows), each pair of blocks is one row of an equi-join on the block number, and hands on at most
-k rows a query, which are merged by a rank per query (limited before the shuffle). Nothing that
-grows with the data is broadcast.
+Scale: rows are dealt into blocks of at most about ``ROW_BLOCK`` rows (fewer for long vectors), and
+each query is copied to each block. One exchange brings a block's rows and then its queries to a
+task, which builds the block's index once, lets the queries stream past it and hands on at most k
+rows for each. While blocks are fewer than cores, each is copied for several parts of the queries.
+Results are merged by a rank per query, limited before the shuffle. Nothing is broadcast.
 
 Defined cases: vectors that are null, empty or hold a null or a non-finite component take no
 part; vectors of unlike lengths are compared as if zeros followed the shorter; equal scores go
 to the smaller id, null ids last; a query does not meet rows with its own id, so repeated rows
 of one id are not partners of each other but count as candidates one by one. Whole-number
-components are held to +-2**30. No queries or no candidates give no rows.
+components beyond +-2**62, and scores of the result beyond a long, are an error; scores are never
+rounded or wrapped. No queries or no candidates give no rows.
 """
 
 from __future__ import annotations
@@ -35,10 +37,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.common import short_batches
+
 ROW_BLOCK = 1 << 16
-QUERY_BLOCK = 256
+#: Bytes of a block's vectors, at most.
+BLOCK_BYTES = 32 << 20
 DROPPED = 3
-LIMIT = 1 << 30
 SCALE = 256
 
 
@@ -48,6 +52,7 @@ class Block:
     def __init__(self, ids: np.ndarray, values: np.ndarray, dropped: int = DROPPED):
         self.ids, self.values, self.dropped = ids, values, dropped
         self.rows, self.dims = values.shape
+        self.largest = max(-int(values.min(initial=0)), int(values.max(initial=0)))
         high = values >> dropped
         self.low = int(high.min(initial=0))  # so that what is sliced is not negative
         shifted = (high - self.low).astype(np.uint64)
@@ -142,12 +147,18 @@ class Block:
         slices, _ = self.sum_slices(query)
         kth = self.kth_largest(slices, min(k + own, self.rows))
         # Dropped bits add between sum(q * rest) over negative q and that over positive q.
-        slack = ((1 << self.dropped) - 1) * int(np.abs(query).sum())
+        total = sum(map(abs, query.tolist()))
+        slack = ((1 << self.dropped) - 1) * total
         rows = self.at_least(slices, kth - -(-slack // (1 << self.dropped)))
         rows = rows[self.ids[rows] != query_id]
-        scores = self.values[rows] @ query
-        order = np.lexsort((self.ids[rows], -scores))[:k]
-        return rows[order], scores[order]
+        if total * self.largest < 1 << 63:
+            scores = self.values[rows] @ query
+        else:  # beyond 64 bits: Python's whole numbers
+            scores = self.values[rows].astype(object) @ query.astype(object)
+        order = np.array(sorted(range(len(rows)), key=lambda i: (-scores[i], self.ids[rows[i]]))[:k], dtype=np.int64) if scores.dtype == object else np.lexsort((self.ids[rows], -scores))[:k]
+        if any(not -(1 << 63) <= x < 1 << 63 for x in scores[order].tolist()):
+            raise OverflowError("a score does not fit in a long")
+        return rows[order], scores[order].astype(np.int64)
 
 
 #: Stands for a null id; sorts last.
@@ -157,7 +168,8 @@ NO_ID = np.iinfo(np.int64).max
 def whole_vector(vector: Column) -> Column:
     """floor(256 * x) of each component x as a double; null for vectors that take no part."""
     usable = vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf")))
-    whole = F.transform(vector, lambda x: F.floor(F.least(F.greatest(x.cast("double") * SCALE, F.lit(-float(LIMIT))), F.lit(float(LIMIT)))).cast("int"))
+    too_large = F.raise_error(F.lit("a whole-number component is beyond +-2**62")).cast("long")
+    whole = F.transform(vector, lambda x: F.when(F.abs(x.cast("double") * SCALE) < float(1 << 62), F.floor(x.cast("double") * SCALE)).otherwise(too_large))
     return F.when(usable, whole)
 
 
@@ -169,64 +181,56 @@ def _matrix(vectors: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
-def _pack(size: int, dims: int):
-    """Rows (group, id, v), sorted by group, into rows (group, n, ids, values) of ``size`` at most."""
+def _search_cells(dims: int, k: int, dropped: int):
+    """The k best of each query in its cell, of rows (cell, asks, id, v), sorted by cell and asks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-        def packed(group: int) -> pa.RecordBatch:
-            parts = held.pop(group)
-            ids, values = (np.concatenate(x) for x in zip(*parts, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([values.astype("<i4").tobytes()], pa.binary())], names=["block", "n", "ids", "vectors"])
-
+        cell, held, block = None, [], None
         for batch in batches:
-            groups = batch.column(0).to_numpy(zero_copy_only=False)
-            ids = pc.fill_null(batch.column(1), int(NO_ID)).to_numpy(zero_copy_only=False)
-            values = _matrix(batch.column(2), dims).astype(np.int32)
-            for g in np.unique(groups).tolist():
-                mine = groups == g
-                held.setdefault(g, []).append((ids[mine], values[mine]))
-            for g in [g for g in held if g != groups[-1]]:
-                yield packed(g)
-        for g in list(held):
-            yield packed(g)
+            cells, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            ids = pc.fill_null(batch.column(2), int(NO_ID)).to_numpy(zero_copy_only=False)
+            values = _matrix(batch.column(3), dims)
+            cuts = np.r_[0, np.flatnonzero((np.diff(cells) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1, len(ids)]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if a == b:
+                    continue
+                if cells[a] != cell:
+                    cell, held, block = cells[a], [], None
+                if not asks[a]:
+                    held.append((ids[a:b], values[a:b]))
+                    continue
+                if block is None:
+                    if not held:
+                        continue
+                    block, held = Block(*(np.concatenate(x) for x in zip(*held, strict=True)), dropped), []
+                found = [(np.full(min(k, block.rows), ids[i]), *block.top(values[i], int(ids[i]), k)) for i in range(a, b)]
+                qids, rows, scores = (np.concatenate(x) for x in zip(*((q[: len(r)], r, s) for q, r, s in found), strict=True))
+                best = block.ids[rows]
+                yield pa.RecordBatch.from_arrays([pa.array(qids), pa.array(best, mask=best == NO_ID), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def blocks(rows: DataFrame, size: int, dims: int, total: int) -> DataFrame:
-    """(block, n, ids, vectors): the rows (id, v) dealt by a hash into blocks of about ``size``."""
-    n = max(1, -(-total // size))
-    dealt = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(n)).alias("block"), "id", "v")
-    return dealt.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_pack(size, dims), "block long, n long, ids binary, vectors binary")
-
-
-def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK, dropped: int = DROPPED) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score of the k best partners of each query row."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), whole_vector(F.col(vector_col)).alias("v"), is_query.alias("q")).where(F.col("v").isNotNull())
-    schema = "query_id long, vec_id long, score long"
-    size = rows.agg(F.count("*").alias("n"), F.sum(F.col("q").cast("int")).alias("q"), F.max(F.size("v")).alias("d")).first()
-    total, asked, dims = size["n"], int(size["q"] or 0), size["d"] or 1
-    index = blocks(rows, row_block, dims, total)
-    # Each query block is copied once for each row block, of which there are rows / row_block.
-    of_rows = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, -(-total // row_block)) - 1).cast("long")))
-    queries = blocks(rows.where("q"), query_block, dims, asked).select(F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), of_rows.alias("block"))
-    # The key also holds the query block's place, so that one row block's work is spread.
-    pairs = queries.join(index, "block").repartition(max(1, -(-asked // query_block)) * max(1, -(-total // row_block)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pair in range(batch.num_rows):
-                at = {name: batch.column(name)[pair].as_py() for name in ("ids", "vectors", "qids", "qvectors")}
-                block = Block(np.frombuffer(at["ids"], "<i8"), np.frombuffer(at["vectors"], "<i4").reshape(-1, dims).astype(np.int64), dropped)
-                found: list[tuple[np.ndarray, ...]] = []
-                for qid, q in zip(np.frombuffer(at["qids"], "<i8").tolist(), np.frombuffer(at["qvectors"], "<i4").reshape(-1, dims).astype(np.int64), strict=True):
-                    best, scores = block.top(q, qid, k)
-                    found.append((np.full(len(best), qid), block.ids[best], scores))
-                qids, ids, scores = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(qids), pa.array(ids, mask=ids == NO_ID), pa.array(scores)], names=["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, schema)
+def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", row_block: int = ROW_BLOCK, query_block: int | None = None, dropped: int = DROPPED) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score of the k best partners of each query row.
+
+    ``query_block`` is the number of queries that a task takes at most (about), else cores decide.
+    """
+    short_batches(vectors.sparkSession)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), whole_vector(F.col(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("v").isNotNull())
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    size = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q"), F.max(F.size("v")).alias("d"), F.max(largest).alias("m")).first()
+    dims, cores = size["d"] or 1, vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-size["n"] // max(1, min(row_block, BLOCK_BYTES // (8 * dims)))))
+    parts = max(1, -(-size["q"] // query_block) if query_block else min(2 * cores // blocks, -(-size["q"] // 64)))
+    kind = next(t for t, most in (("smallint", 1 << 15), ("int", 1 << 31), ("bigint", 1 << 63)) if (size["m"] or 0) < most)
+    v = F.col("v").cast(f"array<{kind}>").alias("v")
+    # Rows that repeat an id and a vector are dealt by the place that they are read from as well.
+    block = F.pmod(F.xxhash64("id", "v", F.spark_partition_id()), F.lit(blocks))
+    copied = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    index = rows.select("id", v, block.alias("b"), copied(parts).alias("p")).select((F.col("b") * parts + F.col("p")).alias("cell"), F.lit(False).alias("asks"), "id", "v")
+    queries = rows.where("q").select("id", v, F.pmod(F.xxhash64("id", F.lit("part")), F.lit(parts)).alias("p"), copied(blocks).alias("b")).select((F.col("b") * parts + F.col("p")).alias("cell"), F.lit(True).alias("asks"), "id", "v")
+    dealt = index.unionAll(queries).repartitionById(blocks * parts, F.col("cell").cast("int")).sortWithinPartitions("cell", "asks")
+    found = dealt.mapInArrow(_search_cells(dims, k, dropped), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

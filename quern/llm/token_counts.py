@@ -13,6 +13,10 @@ The sections' counts always sum to the document's tokens.
 Scale: one narrow pass, a row for each document with an array of its sections; the vocabulary
 (under 1 MB) is broadcast.
 
+Runs of over ``LONG_BLANKS`` blanks would overflow the tokeniser's regular expression. The pattern
+takes such a run, but for its last blank if a word follows, as one piece; that piece is encoded
+past the expression, and what lies between such runs by it, which gives the same tokens.
+
 Defined cases: null and empty texts have no tokens and no sections; a text without line feeds is
 one section; the line feed belongs to the line that it ends; special tokens' strings are
 ordinary text. Extra columns are kept as asked for.
@@ -21,6 +25,7 @@ ordinary text. Extra columns are kept as asked for.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -31,6 +36,20 @@ from pyspark.sql import DataFrame
 from quern.llm.common import annotate
 
 RULES = ("first", "most")
+LONG_BLANKS = 10_000
+#: White space as the tokeniser's expression knows it (Unicode's White_Space).
+_LONG_RUN = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_BLANKS + 1},}}")
+
+
+def encode(encoding: tiktoken.Encoding, text: str) -> list[int]:
+    """The text's tokens; special tokens' strings are ordinary text."""
+    out, at = [], 0
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += encoding.encode_ordinary(text[at : run.start()])
+        out += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + encoding.encode_ordinary(text[at:])
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -80,7 +99,7 @@ def count(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "
                     crossings.append(0)
                     counts.append([])
                     continue
-                ends = np.cumsum(lengths[np.array(encoding.encode_ordinary(text), dtype=np.int64)])
+                ends = np.cumsum(lengths[np.array(encode(encoding, text), dtype=np.int64)])
                 raw = text.encode()
                 if ends[-1] != len(raw):
                     raise AssertionError("the tokens' bytes are not the text's")

@@ -1,27 +1,33 @@
 """License scans: the texts' units against license templates by Dice over word bigrams.
 
-The units of a text are its lines, its paragraphs (between blank lines) and the whole text, each
-normalised (lower case, runs of other characters than letters and digits become one space). Two
-units with bigram sets A and B have the Dice coefficient 2 |A & B| / (|A| + |B|). It can reach
-``THRESHOLD`` = t only if |A| is between t / (2 - t) and (2 - t) / t times |B|; so the number of
-a unit's bigrams alone rules out most templates, before any sets meet.
-
-Everything is a column expression in one narrow pass: no shuffle, no Python. Templates are few
-(they are constants of the plan; ``MAX_TEMPLATES`` bounds them). A unit's work is bounded by its
-own length times the templates of like size.
+Texts are normalised (lower case, runs of other characters than letters and digits become one
+space). The units of a text are its lines, its paragraphs (between blank lines), the whole text,
+and, for each template, runs of its words: windows of five lengths between the least and the most
+bigrams that can match (``ladder``), from each place where a bigram of the template stands. So a
+notice is found inside a longer line, over several paragraphs and above other text. Two units with
+bigram sets A and B have the Dice coefficient 2 |A & B| / (|A| + |B|). It can reach ``THRESHOLD`` =
+t only if |A| is between t / (2 - t) and (2 - t) / t times |B|, and |A & B| at least t / (2 - t)
+times |B|.
+
+Everything is a column expression in one narrow pass: no shuffle, no Python. A text is split into
+words once, its bigrams are hashed (64 bits), and those that no template has are dropped. A text's
+number of a template's bigrams alone rules out most templates; only for the others are its units
+made. The templates are one constant table of the plan, so the plan does not grow with them.
 
 Defined cases: null, empty and blank texts, and units under two words, match nothing; a template
 under two words is refused; equal coefficients go to the alphabetically first template; repeated
-lines count once. Extra columns are kept; ``license``, ``dice``, ``licenses`` are replaced.
+units count once. Extra columns are kept; ``license``, ``dice``, ``licenses`` are replaced.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
-MAX_TEMPLATES = 500
 
 #: Names and texts of license notices.
 TEMPLATES = {
@@ -40,21 +46,17 @@ TEMPLATES = {
 _OTHER = r"[^\p{L}\p{N}]+"
 
 
+def words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.lower(text), _OTHER, " ")), " ")
+
+
 def bigrams(unit: Column) -> Column:
-    """The distinct word bigrams of a text, normalised."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(unit), _OTHER, " ")), " ")
-    return F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b)))
+    """The hashed word bigrams of a text, normalised, in order and with repeats."""
+    return _pairs(words(unit))
 
 
-def template_bigrams(spark, templates: dict[str, str]) -> dict[str, list[str]]:
-    """The bigrams of each template, by the same expression as the texts'."""
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
-    rows = spark.createDataFrame(sorted(templates.items()), "name string, text string").select("name", bigrams(F.col("text")).alias("b")).collect()
-    short = [r["name"] for r in rows if not r["b"]]
-    if short:
-        raise ValueError(f"templates of under two words: {short}")
-    return {r["name"]: r["b"] for r in rows}
+def _pairs(w: Column) -> Column:
+    return F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.xxhash64(a, b))
 
 
 def size_bounds(n: int, threshold: float) -> tuple[int, int]:
@@ -63,30 +65,65 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return within[0], within[-1]
 
 
+def ladder(n: int, threshold: float) -> list[int]:
+    """Lengths, in bigrams, of the windows that are held against a template of n."""
+    low, high = size_bounds(n, threshold)
+    return sorted({low, (low + n) // 2, n, (n + high) // 2, high})
+
+
+def template_table(spark, templates: dict[str, str], threshold: float) -> list[dict]:
+    """name, grams (distinct), n, need (that a text must share), low, high and windows of each template.
+
+    The bigrams are made by the same expression as the texts'.
+    """
+    rows = spark.createDataFrame(sorted(templates.items()), "name string, text string").select("name", F.array_distinct(bigrams(F.col("text"))).alias("grams")).collect()
+    short = [r["name"] for r in rows if not r["grams"]]
+    if short:
+        raise ValueError(f"templates of under two words: {short}")
+    out = []
+    for r in rows:
+        n = len(r["grams"])
+        low, high = size_bounds(n, threshold)
+        need = math.ceil(n * threshold / (2 - threshold) - 1e-9)
+        out.append({"name": r["name"], "grams": list(r["grams"]), "n": n, "need": need, "low": low, "high": high, "windows": ladder(n, threshold)})
+    return out
+
+
+_TABLE = "array<struct<name:string,grams:array<bigint>,n:int,need:int,low:int,high:int,windows:array<int>>>"
+
+
+def _constant(table: list[dict]) -> Column:
+    """The table as one constant, however many rows it has."""
+    return F.from_json(F.lit(json.dumps(table)), _TABLE)
+
+
 def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """All columns with license and dice (of the best match, else null) and licenses (all names)."""
-    known = template_bigrams(docs.sparkSession, TEMPLATES if templates is None else templates)
-    bounds = {name: size_bounds(len(b), threshold) for name, b in known.items()}
-    names = [c for c in docs.columns if c.lower() not in ("license", "dice", "licenses")]
+    known = TEMPLATES if templates is None else templates
+    names = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("license", "dice", "licenses")]
+    if not known:
+        return docs.select(*names, F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("dice"), F.array().cast("array<string>").alias("licenses"))
+    table = template_table(docs.sparkSession, known, threshold)
+    every = F.from_json(F.lit(json.dumps(sorted({g for t in table for g in t["grams"]}))), "array<bigint>")
     text = F.col(f"`{text_col}`")
-    least = min((low for low, _ in bounds.values()), default=0)
-    units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n\s*\n"), F.array(text)))
-    # A unit of w words has at most w - 1 bigrams, and at least two characters to a word but one.
-    sets = F.transform(F.filter(units, lambda u: F.length(u) >= 2 * least + 1), bigrams)
-    sets = F.filter(sets, lambda b: F.size(b) >= least)
-
-    def matches(b: Column) -> Column:
-        found = []
-        for name, own in sorted(known.items()):
-            low, high = bounds[name]
-            shared = F.size(F.array_intersect(b, F.array(*[F.lit(x) for x in own])))
-            dice = 2.0 * shared / (F.size(b) + len(own))
-            found.append(F.when(F.size(b).between(low, high), F.when(dice >= threshold, F.struct((-dice).alias("order"), F.lit(name).alias("name")))))
-        return F.array_compact(F.array(*found))
 
-    if not known:
-        return docs.select(*[F.col(f"`{c}`") for c in names], F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("dice"), F.array().cast("array<string>").alias("licenses"))
-    with_sets = docs.select(*[F.col(f"`{c}`") for c in names], sets.alias("__sets"))
-    found = with_sets.select(*[F.col(f"`{c}`") for c in names], F.array_sort(F.flatten(F.transform("__sets", matches))).alias("__found"))
-    best = F.get("__found", F.lit(0))
-    return found.select(*[F.col(f"`{c}`") for c in names], best["name"].alias("license"), (-best["order"]).alias("dice"), F.coalesce(F.array_sort(F.array_distinct(F.col("__found.name"))), F.array().cast("array<string>")).alias("licenses"))
+    def dice(unit: Column, t: Column) -> Column:
+        """The coefficient of a unit (an array of bigrams) with a template; null where sizes rule it out."""
+        return F.element_at(F.transform(F.array(F.array_distinct(unit)), lambda u: F.when(F.size(u).between(t["low"], t["high"]), 2.0 * F.size(F.array_intersect(u, t["grams"])) / (F.size(u) + t["n"]))), 1)
+
+    def best(t: Column) -> Column:
+        whole = F.col("__lic_grams")
+        places = F.filter(F.transform(whole, lambda g, i: F.when(F.array_contains(t["grams"], g), i + 1)), lambda i: i.isNotNull())
+        text = F.col("__lic_text")
+        units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n\s*\n"), F.array(text)))
+        runs = F.flatten(F.transform(t["windows"], lambda w: F.transform(places, lambda i: dice(F.slice(whole, i, w), t))))
+        return F.greatest(F.array_max(runs), F.array_max(F.transform(units, lambda u: dice(bigrams(u), t))))
+
+    rows = docs.select(*names, text.alias("__lic_text"), words(text).alias("__lic_words"))
+    rows = rows.select(*names, "__lic_text", _pairs(F.col("__lic_words")).alias("__lic_grams"))
+    rows = rows.select(*names, "__lic_text", "__lic_grams", F.array_intersect("__lic_grams", every).alias("__lic_hits"))
+    likely = F.filter(_constant(table), lambda t: (F.size("__lic_hits") >= t["need"]) & (F.size(F.array_intersect(F.col("__lic_hits"), t["grams"])) >= t["need"]))
+    scored = F.transform(likely, lambda t: F.struct((-best(t)).alias("order"), t["name"].alias("name")))
+    found = rows.select(*names, F.array_sort(F.filter(scored, lambda x: x["order"] <= -threshold)).alias("__lic_found"))
+    first = F.get("__lic_found", F.lit(0))
+    return found.select(*names, first["name"].alias("license"), (-first["order"]).alias("dice"), F.coalesce(F.array_sort(F.col("__lic_found.name")), F.array().cast("array<string>")).alias("licenses"))

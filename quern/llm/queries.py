@@ -77,16 +77,28 @@ WITH t(name, text) AS (VALUES {", ".join(f"({_sql_text(name)}, {_sql_text(text)}
 units AS (
   SELECT doc_id, unnest(list_distinct(list_concat(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n\\s*\\n')), [text]))) AS u
   FROM documents WHERE text IS NOT NULL
-), both_sides AS (
-  SELECT doc_id, NULL AS name, u FROM units UNION ALL SELECT NULL, name, text FROM t
+), texts AS (
+  SELECT doc_id, NULL AS name, 'unit' AS kind, u FROM units UNION ALL SELECT doc_id, NULL, 'text', text FROM documents WHERE text IS NOT NULL UNION ALL SELECT NULL, name, 'template', text FROM t
 ), worded AS (
-  SELECT doc_id, name, string_split(trim(regexp_replace(lower(u), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM both_sides
-), grams AS (
-  SELECT doc_id, name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM worded WHERE len(w) > 1
+  SELECT doc_id, name, kind, string_split(trim(regexp_replace(lower(u), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM texts
+), sequences AS (
+  SELECT doc_id, name, kind, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM worded WHERE len(w) > 1
+), templates AS (
+  SELECT name, list_distinct(g) AS b, len(list_distinct(g)) AS n FROM sequences WHERE kind = 'template'
+), sized AS (
+  SELECT name, b, n, (SELECT min(m) FROM range(1, 3 * n + 2) r(m) WHERE 2.0::DOUBLE * least(m, n) / (m + n) >= 0.8) AS low,
+         (SELECT max(m) FROM range(1, 3 * n + 2) r(m) WHERE 2.0::DOUBLE * least(m, n) / (m + n) >= 0.8) AS high FROM templates
+), windows AS (
+  SELECT name, b, n, low, high, unnest(list_distinct([low, (low + n) // 2, n, (n + high) // 2, high])) AS wide FROM sized
+), likely AS (
+  SELECT d.doc_id, d.g, s.* FROM sequences d JOIN windows s ON d.kind = 'text' AND len(list_intersect(list_distinct(d.g), s.b)) >= s.low
+), runs AS (
+  SELECT doc_id, name, n, b, low, high, list_distinct(g[i:i + wide - 1]) AS a FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM likely) WHERE list_contains(b, g[i])
+), pairs AS (
+  SELECT doc_id, name, n, b, low, high, a FROM runs
+  UNION ALL SELECT d.doc_id, s.name, s.n, s.b, s.low, s.high, list_distinct(d.g) FROM sequences d JOIN sized s ON d.kind = 'unit'
 ), scored AS (
-  SELECT d.doc_id, g.name, 2.0::DOUBLE * len(list_intersect(d.b, g.b)) / (len(d.b) + len(g.b)) AS dice
-  FROM (SELECT * FROM grams WHERE name IS NULL) d JOIN (SELECT * FROM grams WHERE name IS NOT NULL) g
-    ON len(d.b) BETWEEN len(g.b) * 0.66 AND len(g.b) * 1.51
+  SELECT doc_id, name, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + n) AS dice FROM pairs WHERE len(a) BETWEEN low AND high
 ), best AS (
   SELECT doc_id, name, max(dice) AS dice FROM scored WHERE dice >= 0.8 GROUP BY ALL
 ), ranked AS (
@@ -153,7 +165,7 @@ WITH c AS (
 SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.id, r.id) AS call_id, c.role AS name, c.turn AS turn,
        CASE WHEN c.id IS NULL THEN NULL ELSE 0 END AS place, CASE WHEN c.id IS NULL THEN NULL ELSE 0 END AS topo_level,
        CASE WHEN c.id IS NULL THEN 'no_call' WHEN r.id IS NULL THEN 'no_result' ELSE 'linked' END AS status,
-       CAST(c.id IS NOT NULL AS BIGINT) AS copies, r.turn AS result_turn, c.id IS NOT NULL AND n_errors = 0 AS valid, coalesce(n_errors, 0) AS n_errors,
+       CAST(c.id IS NOT NULL AS BIGINT) AS copies, CAST(r.id IS NOT NULL AS BIGINT) AS answers, r.turn AS result_turn, c.id IS NOT NULL AND n_errors = 0 AS valid, coalesce(n_errors, 0) AS n_errors,
        CAST(CASE WHEN r.id IS NULL THEN json_object('call', j)
             WHEN c.id IS NULL THEN json_object('result', json_object('content', r.text, 'id', r.id, 'turn', r.turn))
             ELSE json_object('call', j, 'result', json_object('content', r.text, 'id', r.id, 'turn', r.turn)) END AS VARCHAR) AS message

@@ -7,8 +7,8 @@ A linear scorer over hashed word shapes (single and adjacent ones, as shares of
 shapes) is trained on the posteriors by logistic regression, and scores every document.
 
 Scale: votes are counted by pattern on the executors, at most 3 ** 9 rows reach the driver. The
-scorer is fitted on about ``max_train_docs`` distinct texts, chosen by a hash, as hashed counts
-of at most ``SLOTS`` each. Votes, shapes and scores are column expressions in one narrow
+scorer is fitted on about ``max_train_docs`` distinct texts, chosen by a hash at a rate that follows
+the (approximate, distributed) number of distinct texts, as hashed counts of at most ``SLOTS`` each. Votes, shapes and scores are column expressions in one narrow
 pass, with no shuffle.
 
 Defined cases: null, empty and blank texts have score 0 and are not kept; all else is scored,
@@ -192,7 +192,7 @@ def logistic(x: np.ndarray, y: np.ndarray, bias: float, rounds: int = 400, l2: f
     """Weights by accelerated full-batch gradient descent, for targets in [0, 1] and a fixed bias."""
     scale = np.sqrt((x**2).mean(axis=0)) + 0.02  # rare shapes count for less
     z = x / scale
-    step = 4.0 / ((z**2).sum(axis=1).mean() + 1)
+    step = 4.0 / (np.einsum("ij,ij->i", z, z).mean() + 1)
     w, velocity = np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for t in range(rounds):
         look = w + t / (t + 3) * velocity
@@ -208,15 +208,18 @@ def fit(docs: DataFrame, text_col: str = "text", max_train_docs: int = 3000, thr
         return Scorer(np.zeros(SLOTS), 0.0, labels, threshold)
     k = len(labels.names)
     posteriors = _literal(labels.posterior(votes_of(np.arange(3**k), k)))
-    share = min(1 << 20, (max_train_docs << 20) // total + 1)
+    bias = float(np.log(labels.prior) - np.log1p(-labels.prior))  # without evidence the prior decides
+    distinct = docs.select(F.approx_count_distinct(F.xxhash64(text_col)).alias("n")).first()["n"]
+    whole = 1 << 48
+    share = min(whole, max_train_docs * whole // max(1, distinct) + 1)
     rows = docs.select(F.col(text_col).alias("text")).where(has_text(F.col("text"))).withColumn("key", F.xxhash64("text"))
     # Written down first: else the planner computes the slots of every row to test their size.
     # Copies count once, so that a text with very many of them can't swell the sample.
-    sample = cut_lineage(rows.where(F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1 << 20)) < share).dropDuplicates(["key"]))
+    sample = cut_lineage(rows.where(F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(whole)) < share).dropDuplicates(["key"]))
     slots = with_slots(with_votes(sample, "text"), "text").select("key", F.get(posteriors, F.col("votes")).alias("y"), F.explode("slots").alias("slot"))
     found = slots.groupBy("key", "slot").agg(F.count("*").alias("n"), F.first("y").alias("y")).toPandas()
     if not len(found):
-        return Scorer(np.zeros(SLOTS), 0.0, labels, threshold)
+        return Scorer(np.zeros(SLOTS), bias, labels, threshold)
     keys, row = np.unique(found["key"].to_numpy(), return_inverse=True)
     used, column = np.unique(found["slot"].to_numpy(), return_inverse=True)
     x = np.zeros((len(keys), len(used)))
@@ -225,7 +228,6 @@ def fit(docs: DataFrame, text_col: str = "text", max_train_docs: int = 3000, thr
     y = np.zeros(len(keys))
     y[row] = found["y"].to_numpy()
     weights = np.zeros(SLOTS)
-    bias = float(np.log(labels.prior) - np.log1p(-labels.prior))  # without evidence the prior decides
     weights[used] = logistic(x, y, bias)
     return Scorer(weights, bias, labels, threshold)
 

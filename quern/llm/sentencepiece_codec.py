@@ -39,7 +39,7 @@ from sentencepiece import sentencepiece_model_pb2
 from quern.llm.common import annotate
 
 META = "▁"
-CACHE_UNITS = 600_000
+CACHE_UNITS = 400_000
 #: Longer units (in symbols) get a heap of their own; shorter ones are rows of an array.
 ROW_SYMBOLS = 24
 NONE = np.int32(2**31 - 1)

@@ -124,6 +124,32 @@ def test_top_k(spark, rows_a_block, queries_a_block, dropped):
     assert sorted(tuple(r) for r in got) == brute_top(rows, 5)
 
 
+@pytest.mark.parametrize("least, most", [(1e-3, 1e3), (1e-3, 1e6), (1e5, 1e7)])
+def test_top_k_of_large_components(spark, least, most):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(s * 10**e) for s, e in zip(rng.choice([-1, 1], 4), rng.uniform(np.log10(least), np.log10(most), 4), strict=True)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0).collect()) == brute_top(rows, 5)
+
+
+def test_top_k_never_wraps(spark):
+    rows = [(0, [1.0]), (1, [1e7]), (2, [2e7]), (3, [9e6]), (50, [1e-3]), (4, [1e12])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in topk.search(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [4, 2, 1, 3, 50]
+    wide = spark.createDataFrame([(0, [4e12] * 64), (1, [4e12] * 64), (2, [-4e12] * 64)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit in a long"):
+        topk.search(wide, F.col("vec_id") == 0).collect()
+    with pytest.raises(Exception, match="beyond"):
+        topk.search(spark.createDataFrame([(0, [1e300])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+
+
+def test_top_k_exact_beyond_64_bits():
+    """The bound passes 2**63, the scores don't: they cancel."""
+    values = np.array([[1 << 45, 1 << 45], [(1 << 45) + 1, 1 << 45], [1 << 45, (1 << 45) + 3]], dtype=np.int64)
+    rows, scores = topk.Block(np.arange(3), values).top(np.array([1 << 30, -(1 << 30)]), 9, 3)
+    assert rows.tolist() == [1, 0, 2] and scores.tolist() == [1 << 30, 0, -3 << 30]
+
+
 def test_top_k_of_few(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.search(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 512)]

@@ -6,7 +6,7 @@ over the same shingles gives the first candidates. Texts of that similarity can
 number of a fingerprint's bits, so it can't give them all; the rest come from prefix filtering: if
 every set is put into one common order, linked sets share a shingle among their first
 n - ceil(4 n / 5) + 1. Those are the keys. The closer the sizes the more keys they share at least;
-a text that shares fewer keys with all others together has no link. Shingles that a sample finds common come last in the
+a text that shares fewer keys with texts of other components has no link to them. Shingles that a sample finds common come last in the
 order, which changes the number of candidates but not the links. Sizes, and parity sketches that
 can only underestimate how much two sets differ, prune candidates; the words confirm each link.
 
@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import annotate, ascii_lower, cut_lineage, few, short_batches
@@ -346,8 +346,10 @@ def _between_roots(rest: DataFrame, info: DataFrame, block: int, every: bool) ->
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     # A member of block m meets each block o in the part (min, max); within its own, as side 0.
     parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct((F.least(o, F.col("m")) * F.col("blocks") + F.greatest(o, F.col("m"))).alias("part"), F.when(o == F.col("m"), 0).when(o > F.col("m"), 1).otherwise(2).cast("long").alias("side")))
-    dealt = rest.join(open_keys, "key").withColumn("m", mine).select("key", "node", "root", F.explode(parts).alias("p"))
-    rows = dealt.join(info, "node").select("key", F.col("p.part").alias("part"), F.col("p.side").alias("side"), "node", "root", "size", "known", "sketch")
+    # A node shares no more keys with nodes of other roots than it has open ones.
+    known = F.count("*").over(Window.partitionBy("node"))
+    dealt = rest.join(open_keys, "key").withColumn("known", known).join(info, "node").withColumn("m", mine)
+    rows = dealt.select("key", "node", "root", "size", "known", "sketch", F.explode(parts).alias("p")).select("key", F.col("p.part").alias("part"), F.col("p.side").alias("side"), "node", "root", "size", "known", "sketch")
     return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_pairs_in_groups(every), "a long, b long, r long, q long, d long, more boolean")
 
 
@@ -357,14 +359,13 @@ def roots_of(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]
     marked = cut_lineage(_marked(docs), as_it_lies=True)
     first = marked.where("size is not null")
     shared = cut_lineage(_shared_keys(first))
-    met = cut_lineage(shared.groupBy("node").agg(F.mode(F.when(F.col("node") != F.col("hub"), F.col("hub"))).alias("hub"), F.count("*").alias("known")))
-    info = first.select("node", "size", "sketch").dropDuplicates(["node"]).join(met.select("node", "known"), "node")
+    info = first.select("node", "size", "sketch").dropDuplicates(["node"])
 
     prints = first.groupBy("simhash").agg(F.min("node").alias("least"))
     linked = link_fingerprints(prints.select("simhash"), block=block)
     by_print = linked.join(prints.select(F.col("simhash").alias("a"), F.col("least").alias("x")), "a").join(prints.select(F.col("simhash").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same_print = first.join(prints, "simhash").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    by_key = met.where("hub is not null").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    by_key = shared.where("node <> hub").groupBy("node").agg(F.mode("hub").alias("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     before = components(_verified(_pruned(by_print.unionAll(same_print).unionAll(by_key), first), docs))
 
     # The closest pair of each two components that share a key.

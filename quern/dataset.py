@@ -9,13 +9,14 @@ before an action.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern import session
 from quern.functions.columns import as_column
 from quern.operators import joins, keyed, narrow, ordering, partitioning, sampling, sets
 from quern.sinks import files as sinks
@@ -43,9 +44,31 @@ class Context:
         return Dataset._positioned(memory.source_udf(self.spark, n, make, schema, partitions))
 
     def text_file(self, path: str, max_files: int | None = None, parquet: bool = False) -> Dataset:
+        """Lines in order of the files' names. Spark packs splits by size, so an action that needs
+        the order sorts by it."""
         if parquet or path.endswith(".parquet"):
             return Dataset(files.text_file(self.spark, path, max_files, parquet))
-        return Dataset._positioned(files.text_file(self.spark, path, max_files, positions=True).drop("_file"))
+        lines = files.text_file(self.spark, path, max_files, positions=True)
+        return Dataset(lines.select("value", F.col("_file").alias(f"{HIDDEN}0"), F.col("_pos").alias(f"{HIDDEN}1")), (True, True), False)
+
+    def json_file(self, path: str, schema: str | T.StructType) -> Dataset:
+        return Dataset(files.json_file(self.spark, path, schema))
+
+    def csv_file(self, path: str, schema: str | T.StructType, sep: str = ",", header: bool = False) -> Dataset:
+        return Dataset(files.csv_file(self.spark, path, schema, sep, header))
+
+    def jdbc(self, url: str, table: str, **options: str) -> Dataset:
+        return Dataset(files.jdbc(self.spark, url, table, **options))
+
+    def require(self, *paths: str) -> None:
+        """Ships Python modules (files, packages as zip) to the workers."""
+        session.require(self.spark, *paths)
+
+    @property
+    def env(self) -> dict[str, str]:
+        """What ``get_session(env=...)`` has set on the workers."""
+        prefix = "spark.executorEnv."
+        return {k.removeprefix(prefix): v for k, v in self.spark.sparkContext.getConf().getAll() if k.startswith(prefix)}
 
     def line_stream(self, stream) -> Dataset:
         return Dataset(streams.line_stream(self.spark, stream))
@@ -61,9 +84,9 @@ class Context:
 
 
 class Dataset:
-    def __init__(self, df: DataFrame, directions: tuple[bool, ...] = (), natural: bool = True):
-        """``directions``: of each hidden order column, whether it ascends. ``natural``: whether
-        the rows lie in that order, partition by partition."""
+    def __init__(self, df: DataFrame, directions: tuple[bool | tuple[bool, bool], ...] = (), natural: bool = True):
+        """``directions``: of each hidden order column, whether it ascends, or that and whether nulls
+        come first. ``natural``: whether the rows lie in that order, partition by partition."""
         self.hidden_df, self.directions, self.natural = df, directions, natural
 
     @classmethod
@@ -84,7 +107,11 @@ class Dataset:
         return self.hidden_df.select(*[F.col(f"`{c}`") for c in self.columns])
 
     def _order(self, reverse: bool = False) -> list[Column]:
-        return [ordering.direction(c, up != reverse) for c, up in zip(self._hidden, self.directions, strict=True)]
+        out = []
+        for c, how in zip(self._hidden, self.directions, strict=True):
+            up, first = how if isinstance(how, tuple) else (how, how)
+            out.append(ordering.direction(c, up != reverse, first != reverse))
+        return out
 
     def ordered(self) -> DataFrame:
         rows = self.hidden_df if self.natural else self.hidden_df.orderBy(*self._order())
@@ -124,6 +151,12 @@ class Dataset:
     def filter_udf(self, function: Callable[[dict], object]) -> Dataset:
         return self._wide(narrow.filter_udf(self.df, function))
 
+    def flat_map_udf(self, function: Callable[[dict], Iterable[dict]], schema: str) -> Dataset:
+        return self._wide(narrow.flat_map_udf(self.df, function, schema))
+
+    def map_batches(self, function: Callable, schema: str) -> Dataset:
+        return self._wide(narrow.map_batches(self.df, function, schema))
+
     def keys(self) -> Dataset:
         return self._narrow("key")
 
@@ -133,9 +166,16 @@ class Dataset:
     def sample(self, with_replacement: bool, fraction: float, seed: int = 0) -> Dataset:
         return Dataset(sampling.sample(self.hidden_df, with_replacement, fraction, seed), self.directions, self.natural)
 
+    def hash_sample(self, key: Column | str, part: int, of: int) -> Dataset:
+        return Dataset(sampling.hash_sample(self.hidden_df, key, part, of), self.directions, self.natural)
+
     def union(self, other: Dataset) -> Dataset:
-        if not (self.directions == other.directions == (True,)):
+        """The rows of this one, then those of the other; ordered if both are in the same way."""
+        if not self.directions or self.directions != other.directions:
             return self._wide(sets.union(self.df, other.df))
+        if self.directions != (True,):
+            sided = lambda d, i: d.hidden_df.select(*[F.col(f"`{c}`") for c in d.columns], F.lit(i).alias(f"{HIDDEN}0"), *[F.col(c).alias(f"{HIDDEN}{j + 1}") for j, c in enumerate(d._hidden)])
+            return Dataset(sided(self, 0).union(sided(other, 1)), (True, *self.directions), self.natural and other.natural)
         side = lambda d, i: d.hidden_df.withColumn(f"{HIDDEN}0", F.concat(F.array(F.lit(i).cast("long")), f"{HIDDEN}0"))
         return Dataset(side(self, 0).union(side(other, 1)), (True,), self.natural and other.natural)
 
@@ -173,6 +213,15 @@ class Dataset:
     def right_outer_join(self, other: Dataset) -> Dataset:
         return self._wide(joins.right_outer_join(self.df, other.df))
 
+    def full_outer_join(self, other: Dataset) -> Dataset:
+        return self._wide(joins.full_outer_join(self.df, other.df))
+
+    def semi_join(self, other: Dataset) -> Dataset:
+        return self._wide(joins.semi_join(self.df, other.df))
+
+    def anti_join(self, other: Dataset) -> Dataset:
+        return self._wide(joins.anti_join(self.df, other.df))
+
     def cartesian(self, other: Dataset) -> Dataset:
         return self._wide(joins.cartesian(self.df, other.df))
 
@@ -185,14 +234,18 @@ class Dataset:
     def subtract(self, other: Dataset) -> Dataset:
         return self._wide(sets.subtract(self.df, other.df))
 
-    def sort_by(self, key: Column | str, ascending: bool = True) -> Dataset:
-        """A key in front of the order at hand; equal keys keep it. Sorted once, by the action."""
+    def sort_by(self, key: Column | str, ascending: bool = True, partitions: int | None = None, nulls_first: bool | None = None) -> Dataset:
+        """A key in front of the order at hand; equal keys keep it. Sorted once, by the action; or at
+        once, into so many ranges, if ``partitions`` are given. Nulls are least unless told otherwise."""
         shifted = [F.col(c).alias(f"{HIDDEN}{i + 1}") for i, c in enumerate(self._hidden)]
         rows = self.hidden_df.select(*[F.col(f"`{c}`") for c in self.columns], as_column(key).alias(f"{HIDDEN}0"), *shifted)
-        return Dataset(rows, (ascending, *self.directions), False)
+        out = Dataset(rows, (ascending if nulls_first is None else (ascending, nulls_first), *self.directions), False)
+        if partitions is None:
+            return out
+        return Dataset(rows.repartitionByRange(partitions, *out._order()).sortWithinPartitions(*out._order()), out.directions)
 
-    def sort_by_key(self, ascending: bool = True) -> Dataset:
-        return self.sort_by("key", ascending)
+    def sort_by_key(self, ascending: bool = True, partitions: int | None = None, nulls_first: bool | None = None) -> Dataset:
+        return self.sort_by("key", ascending, partitions, nulls_first)
 
     def partition_by(self, partitioner: partitioning.HashPartitioner | partitioning.RangePartitioner | partitioning.CustomPartitioner, key: Column | str = "key") -> Dataset:
         return Dataset(partitioning.partition_by(self.hidden_df, partitioner, key), self.directions, not self.directions)
@@ -235,6 +288,10 @@ class Dataset:
             return self.df.tail(n)
         return Dataset(self.hidden_df.orderBy(*self._order(reverse=True)).limit(n), self.directions, False).collect()
 
+    def top_by(self, n: int, key: Column | str, *ties: Column | str) -> list[Row]:
+        """The n rows with the largest keys, largest first."""
+        return ordering.top_by(self.df, n, key, *ties).collect()
+
     def take_sample(self, with_replacement: bool, n: int, seed: int = 0) -> list[Row]:
         return sampling.take_sample(self.df, with_replacement, n, seed)
 

@@ -18,7 +18,11 @@ def truthy(value: Column | str) -> Column:
 
 def words(text: Column | str, separator: str = " ") -> Column:
     """Pieces of a text between a literal separator."""
-    return F.split(as_column(text), rf"\Q{separator}\E")
+    if len(separator) == 1:  # the splitter's own fast path takes one character, bare or escaped
+        pattern = separator if separator.isalnum() or separator.isspace() or ord(separator) > 127 else f"\\{separator}"
+    else:
+        pattern = rf"\Q{separator}\E"
+    return F.split(as_column(text), pattern)
 
 
 def trimmed(pieces: Column | str) -> Column:

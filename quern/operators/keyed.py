@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import copy
+import functools
+import pickle
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quern.functions.columns import as_column
 
@@ -23,18 +28,24 @@ def aggregate(df: DataFrame, *aggregates: Column) -> DataFrame:
     return df.agg(*aggregates)
 
 
-def aggregate_udf(df: DataFrame, init: object, reducer: Callable, combiner: Callable) -> object:
-    """A fold by opaque functions; ``init`` must be neutral. Each partition folds its rows."""
-    import copy
+#: Keys whose states a task holds before it hands them on.
+HELD_KEYS = 50_000
+
 
-    partials = df.rdd.mapPartitions(lambda rows: [_fold(rows, copy.deepcopy(init), reducer)])
-    return partials.treeReduce(combiner) if partials.getNumPartitions() else copy.deepcopy(init)
+def aggregate_udf(df: DataFrame, init: object, reducer: Callable, combiner: Callable) -> object:
+    """A fold by opaque functions; ``init`` must be neutral. Each partition folds its rows, in Arrow
+    batches, to one state; states are combined in partition order."""
+    row = Row(*df.columns)
 
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = copy.deepcopy(init)
+        for batch in batches:
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                state = reducer(state, row(*values))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(state)], pa.binary())], names=["state"])
 
-def _fold(rows, state, reducer):
-    for row in rows:
-        state = reducer(state, row)
-    return state
+    states = df.mapInArrow(fold, "state binary").toLocalIterator()
+    return functools.reduce(combiner, (pickle.loads(r["state"]) for r in states), copy.deepcopy(init))
 
 
 def reduce(df: DataFrame, value: Column | str = "value", how: str | Callable[[Column], Column] = "sum") -> DataFrame:
@@ -57,9 +68,46 @@ def reduce_by_key(df: DataFrame, how: str | Callable[[Column], Column] = "sum",
 
 
 def aggregate_by_key_udf(df: DataFrame, init: object, reducer: Callable, combiner: Callable, schema: str | T.StructType, key: str = "key", value: str = "value") -> DataFrame:
-    """By-key fold by opaque functions, combined on the map side and spilled by Spark."""
-    pairs = df.select(key, value).rdd.map(lambda r: (r[0], r[1])).aggregateByKey(init, reducer, combiner)
-    return df.sparkSession.createDataFrame(pairs, schema)
+    """By-key fold by opaque functions. Tasks fold their rows to a state a key, in Arrow batches and
+    for at most ``HELD_KEYS`` keys at a time; states are shuffled by key and combined as they come."""
+    out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    arrow, key_type = to_arrow_schema(out), df.schema[key].dataType.simpleString()
+    key_arrow = to_arrow_schema(df.select(key).schema).field(0).type
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict = {}
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(states), key_arrow), pa.array([pickle.dumps(x) for x in states.values()], pa.binary())], names=["key", "state"])
+
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                states[k] = reducer(states[k] if k in states else copy.deepcopy(init), v)
+            if len(states) > HELD_KEYS:
+                yield told()
+                states.clear()
+        yield told()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, state, begun = None, None, False
+        for batch in batches:
+            done = []
+            for k, pickled in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if begun and k == open_key:
+                    state = combiner(state, pickle.loads(pickled))
+                    continue
+                if begun:
+                    done.append((open_key, state))
+                open_key, state, begun = k, pickle.loads(pickled), True
+            yield told(done)
+        if begun:
+            yield told([(open_key, state)])
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in rows], schema=arrow)
+
+    partial = df.select(F.col(key).alias("key"), F.col(value).alias("value")).mapInArrow(fold, f"key {key_type}, state binary")
+    return partial.repartition("key").sortWithinPartitions("key").mapInArrow(merge, out)
 
 
 def group_by_key(df: DataFrame, key: str = "key", value: str = "value", order: str | None = None) -> DataFrame:

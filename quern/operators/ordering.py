@@ -39,9 +39,9 @@ def top(df: DataFrame, n: int, position: Column | str) -> DataFrame:
     return df.orderBy(as_column(position).desc()).limit(n).orderBy(as_column(position))
 
 
-def top_by(df: DataFrame, n: int, key: Column | str) -> DataFrame:
-    """The n rows with the largest keys."""
-    return df.orderBy(direction(key, False)).limit(n)
+def top_by(df: DataFrame, n: int, key: Column | str, *ties: Column | str) -> DataFrame:
+    """The n rows with the largest keys; equal keys by ``ties``, ascending."""
+    return df.orderBy(direction(key, False), *ties).limit(n)
 
 
 def first(df: DataFrame, *order: Column | str) -> Row | None:

@@ -22,8 +22,3 @@ def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of the first that are not in the second; repeats that stay are kept."""
     right = b.toDF(*[f"__b{i}" for i in range(len(b.columns))])
     return a.join(right, same_on(a, right, list(zip(a.columns, right.columns, strict=True))), "left_anti")
-
-
-def rows_with_side(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-    """The union with a column that says which side a row is of (0 or 1)."""
-    return a.withColumn(name, F.lit(0)).unionByName(b.withColumn(name, F.lit(1)))

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import builtins
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.dataset import Context, Dataset
 from quern.functions import scalar
 from quern.ml.kmeans import KMeans
-from quern.ml.metrics import confusion, with_rates
+from quern.ml.metrics import classification_metrics, confusion, with_rates
 from quern.ml.scaler import StandardScaler
-from quern.ml.sgd import SGDLinearModel
+from quern.ml.sgd import LOSSES, PENALTIES, SGDLinearModel
 from quern.operators import joins, keyed, narrow, ordering, partitioning, sampling, sets
 from quern.sinks import files as sinks
 from quern.sources import files, memory, streams
@@ -58,6 +57,12 @@ def pipeline_slice(spark, sf):
     return sums.map_values(F.round("value", 2)).sort_by_key().ordered()
 
 
+def ranked(df: DataFrame) -> DataFrame:
+    """The rows with ``_rank``, their places as they lie, partition after partition."""
+    placed = df.withColumn("__place", F.monotonically_increasing_id())
+    return placed.withColumn("_rank", F.row_number().over(Window.orderBy("__place"))).drop("__place")
+
+
 # Narrow operators
 
 
@@ -83,6 +88,20 @@ def flat_map_wordcount(spark, sf):
     return words.reduce_by_key("sum").df.select(F.col("key").alias("word"), F.col("value").alias("n"))
 
 
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment LIKE 'B%'")
+def filter_udf(spark, sf):
+    return narrow.filter_udf(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), lambda r: r["c_mktsegment"].startswith("B"))
+
+
+@query("SELECT o_orderkey, o_orderkey * 2 AS twice FROM orders")
+def map_batches(spark, sf):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    double = lambda b: pa.RecordBatch.from_arrays([b.column(0), pc.multiply(b.column(0), 2)], names=["o_orderkey", "twice"])
+    return narrow.map_batches(table(spark, sf, "orders").select("o_orderkey"), double, "o_orderkey long, twice long")
+
+
 @query("SELECT o_orderkey, unnest(string_split(o_orderpriority, '-')) AS part FROM orders")
 def flat_map_udf(spark, sf):
     return narrow.flat_map_udf(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), lambda r: ({"o_orderkey": r["o_orderkey"], "part": p} for p in r["o_orderpriority"].split("-")), "o_orderkey long, part string")
@@ -157,6 +176,12 @@ def aggregate_by_key_udf(spark, sf):
     return keyed.aggregate_by_key_udf(pairs(spark, sf, "customer", "c_mktsegment", "c_custkey"), 0, lambda a, v: a + v, lambda a, b: a + b, "key string, value long")
 
 
+@query("SELECT CAST(sum(o_orderkey) AS BIGINT) AS total, count(*) AS n FROM orders")
+def aggregate_udf(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    return spark.createDataFrame([keyed.aggregate_udf(orders, (0, 0), lambda a, r: (a[0] + r[0], a[1] + 1), lambda a, b: (a[0] + b[0], a[1] + b[1]))], "total long, n long")
+
+
 @query("SELECT o_custkey AS key, array_to_string(list_sort(list(o_orderkey)), ',') AS value FROM orders GROUP BY 1")
 def group_by_key(spark, sf):
     return keyed.group_by_key(pairs(spark, sf, "orders", "o_custkey", "o_orderkey")).withColumn("value", F.array_join("value", ","))
@@ -180,43 +205,46 @@ def distinct(spark, sf):
 # Joins
 
 
-def _nation_sides(spark, sf):
-    return pairs(spark, sf, "customer", "c_nationkey", "c_custkey").where("key < 15"), pairs(spark, sf, "supplier", "s_nationkey", "s_suppkey").where("key > 5")
+#: Keys of both sides over the whole tables: repeats, nulls, and keys that only one side has.
+_LEFT = "(SELECT nullif(c_custkey % 97, 0) AS key, c_custkey AS v FROM customer)"
+_RIGHT = "(SELECT nullif(s_suppkey % 89, 0) + 10 AS key, s_suppkey AS v FROM supplier)"
+
+
+def _sides(spark, sf):
+    left = table(spark, sf, "customer").select(F.nullif(F.col("c_custkey") % 97, F.lit(0)).alias("key"), F.col("c_custkey").alias("value"))
+    return left, table(spark, sf, "supplier").select((F.nullif(F.col("s_suppkey") % 89, F.lit(0)) + 10).alias("key"), F.col("s_suppkey").alias("value"))
 
 
 @query(
-    """WITH a AS (SELECT c_nationkey AS key, list_sort(list(c_custkey)) AS v FROM customer WHERE c_nationkey < 15 GROUP BY 1),
-            b AS (SELECT s_nationkey AS key, list_sort(list(s_suppkey)) AS v FROM supplier WHERE s_nationkey > 5 GROUP BY 1)
+    f"""WITH a AS (SELECT key, list_sort(list(v)) AS v FROM {_LEFT} GROUP BY 1), b AS (SELECT key, list_sort(list(v)) AS v FROM {_RIGHT} GROUP BY 1)
        SELECT coalesce(a.key, b.key) AS key, coalesce(array_to_string(a.v, ','), '') AS lefts, coalesce(array_to_string(b.v, ','), '') AS rights
        FROM a FULL JOIN b ON a.key IS NOT DISTINCT FROM b.key"""
 )
 def cogroup(spark, sf):
-    return joins.co_group(*_nation_sides(spark, sf)).withColumns({"lefts": F.array_join("lefts", ","), "rights": F.array_join("rights", ",")})
+    return joins.co_group(*_sides(spark, sf)).withColumns({"lefts": F.array_join("lefts", ","), "rights": F.array_join("rights", ",")})
 
 
-_SIDES = """(SELECT c_nationkey AS key, c_custkey AS l FROM customer WHERE c_nationkey < 15) a {} JOIN
-            (SELECT s_nationkey AS key, s_suppkey AS r FROM supplier WHERE s_nationkey > 5) b ON a.key IS NOT DISTINCT FROM b.key"""
-_JOINED = 'SELECT coalesce(a.key, b.key) AS key, l AS "left", r AS "right" FROM ' + _SIDES
+_JOINED = f'SELECT coalesce(a.key, b.key) AS key, a.v AS "left", b.v AS "right" FROM {_LEFT} a {{}} JOIN {_RIGHT} b ON a.key IS NOT DISTINCT FROM b.key'
 
 
 @query(_JOINED.format("INNER"))
 def join(spark, sf):
-    return joins.join(*_nation_sides(spark, sf))
+    return joins.join(*_sides(spark, sf))
 
 
 @query(_JOINED.format("LEFT"))
 def left_outer(spark, sf):
-    return joins.left_outer_join(*_nation_sides(spark, sf))
+    return joins.left_outer_join(*_sides(spark, sf))
 
 
 @query(_JOINED.format("RIGHT"))
 def right_outer(spark, sf):
-    return joins.right_outer_join(*_nation_sides(spark, sf))
+    return joins.right_outer_join(*_sides(spark, sf))
 
 
 @query(_JOINED.format("FULL"))
 def full_outer(spark, sf):
-    return joins.full_outer_join(*_nation_sides(spark, sf))
+    return joins.full_outer_join(*_sides(spark, sf))
 
 
 @query(
@@ -233,14 +261,21 @@ def cartesian(spark, sf):
     return joins.cartesian(table(spark, sf, "region").select("r_name"), table(spark, sf, "nation").select("n_name"))
 
 
-@query("SELECT c_custkey AS key FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+_KEYS = "FROM (SELECT nullif(c_custkey % 40, 0) AS key FROM customer) a WHERE {} (SELECT 1 FROM (SELECT nullif(s_suppkey % 25, 0) AS key FROM supplier) b WHERE a.key IS NOT DISTINCT FROM b.key)"
+
+
+def _keys(spark, sf):
+    return table(spark, sf, "customer").select(F.nullif(F.col("c_custkey") % 40, F.lit(0)).alias("key")), table(spark, sf, "supplier").select(F.nullif(F.col("s_suppkey") % 25, F.lit(0)).alias("key"))
+
+
+@query("SELECT a.key " + _KEYS.format("EXISTS"))
 def semi_join(spark, sf):
-    return joins.semi_join(table(spark, sf, "customer").select(F.col("c_custkey").alias("key")), table(spark, sf, "orders").select(F.col("o_custkey").alias("key")))
+    return joins.semi_join(*_keys(spark, sf))
 
 
-@query("SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT a.key " + _KEYS.format("NOT EXISTS"))
 def anti_join(spark, sf):
-    return joins.anti_join(table(spark, sf, "customer").select(F.col("c_custkey").alias("key")), table(spark, sf, "orders").select(F.col("o_custkey").alias("key")))
+    return joins.anti_join(*_keys(spark, sf))
 
 
 # Set operations
@@ -257,23 +292,34 @@ def intersection(spark, sf):
     return sets.intersection(items.where("l_quantity < 10").select("k", "n"), items.where("l_quantity > 40").select("k", "n"))
 
 
-@query("SELECT l_suppkey AS k, l_linenumber AS n FROM lineitem a WHERE l_quantity < 10 AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_quantity > 45 AND b.l_suppkey IS NOT DISTINCT FROM a.l_suppkey AND b.l_linenumber IS NOT DISTINCT FROM a.l_linenumber)")
+@query(
+    """WITH a AS (SELECT nullif(l_linenumber, 3) AS n, l_returnflag AS f, l_linenumber < 4 AS low FROM lineitem)
+       SELECT n, f FROM a WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT n, f FROM a WHERE low) b WHERE b.n IS NOT DISTINCT FROM a.n AND b.f IS NOT DISTINCT FROM a.f)"""
+)
 def subtract(spark, sf):
-    items = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("n"), "l_quantity")
-    return sets.subtract(items.where("l_quantity < 10").select("k", "n"), items.where("l_quantity > 45").select("k", "n"))
+    items = table(spark, sf, "lineitem").select(F.nullif("l_linenumber", F.lit(3)).alias("n"), F.col("l_returnflag").alias("f"), (F.col("l_linenumber") < 4).alias("low"))
+    return sets.subtract(items.select("n", "f"), items.where("low").select("n", "f"))
 
 
 # Order and position
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders")
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS _rank FROM orders")
 def sort_by(spark, sf):
-    return ordering.sort_by(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return ranked(ordering.sort_by(orders, F.struct("o_totalprice", "o_orderkey")))
+
 
+@query("SELECT o_orderkey, p, row_number() OVER (ORDER BY p NULLS LAST, o_orderkey DESC) AS _rank FROM (SELECT o_orderkey, nullif(o_orderpriority, '2-HIGH') AS p FROM orders)")
+def sort_by_partitions(spark, sf):
+    """Ranges by number, nulls last, equal keys in the order of an earlier sort."""
+    rows = Dataset(table(spark, sf, "orders").select("o_orderkey", F.nullif("o_orderpriority", F.lit("2-HIGH")).alias("p")))
+    return ranked(rows.sort_by("o_orderkey", ascending=False).sort_by("p", partitions=5, nulls_first=False).ordered())
 
-@query("SELECT c_custkey AS key, c_acctbal AS value FROM customer")
+
+@query("SELECT c_custkey AS key, c_acctbal AS value, row_number() OVER (ORDER BY c_custkey DESC) AS _rank FROM customer")
 def sort_by_key_desc(spark, sf):
-    return ordering.sort_by_key(pairs(spark, sf, "customer", "c_custkey", "c_acctbal"), ascending=False)
+    return ranked(ordering.sort_by_key(pairs(spark, sf, "customer", "c_custkey", "c_acctbal"), ascending=False))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10")
@@ -288,12 +334,13 @@ def top(spark, sf):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
 def top_by(spark, sf):
-    return ordering.take(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 5, F.desc("o_totalprice"), "o_orderkey")
+    return ordering.top_by(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 5, "o_totalprice", "o_orderkey")
 
 
 @query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 1")
 def first(spark, sf):
-    return ordering.take(table(spark, sf, "part").select("p_partkey", "p_name"), 1, "p_partkey")
+    part = table(spark, sf, "part").select("p_partkey", "p_name")
+    return spark.createDataFrame([ordering.first(part, "p_partkey")], part.schema)
 
 
 @query("SELECT o_orderkey AS value FROM orders WHERE o_custkey = 7")
@@ -301,9 +348,11 @@ def lookup(spark, sf):
     return ordering.lookup(pairs(spark, sf, "orders", "o_custkey", "o_orderkey"), 7)
 
 
-@query("SELECT o_orderkey FROM orders")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS _rank FROM orders")
 def collect_order(spark, sf):
-    return Context(spark).dataset(table(spark, sf, "orders").select("o_orderkey", F.col("o_orderkey").alias("p")), "p").ordered()
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderkey").alias("p")).repartition(7, "o_orderkey")
+    rows = Context(spark).dataset(orders, "p").sort_by("o_orderkey").collect()
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows, 1)], "o_orderkey long, _rank long")
 
 
 # Generators and sources
@@ -329,33 +378,35 @@ def parallelize(spark, sf):
     return memory.parallelize(spark, [("hello", 1), ("hello", 2), ("world", 1)], "key string, value int").drop("_pos")
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("SELECT * FROM orders")
 def parquet_scan(spark, sf):
-    return files.text_file(spark, f"{sf}/nation.parquet")
+    return files.text_file(spark, f"{sf}/orders.parquet")
 
 
-@query("SELECT n_name AS value FROM nation")
+@query("SELECT c_name AS value FROM customer")
 def text_file(spark, sf):
     path = scratch(spark)
-    table(spark, sf, "nation").select("n_name").write.text(path)
+    table(spark, sf, "customer").select("c_name").repartition(3).write.text(path)
     return files.text_file(spark, path)
 
 
-@query("SELECT n_name AS value FROM nation")
+@query("SELECT c_name AS value FROM customer")
 def text_file_gzip(spark, sf):
     path = scratch(spark)
-    table(spark, sf, "nation").select("n_name").write.option("compression", "gzip").text(path)
+    table(spark, sf, "customer").select("c_name").repartition(3).write.option("compression", "gzip").text(path)
     return files.text_file(spark, path + "/*.gz")
 
 
-@query("SELECT range || ' line' AS value FROM range(50)")
+@query("SELECT c_name || ' ' || c_custkey AS value FROM customer")
 def line_stream(spark, sf):
-    return streams.line_stream(spark, (f"{i} line\n" for i in builtins.range(50)), scratch(spark))
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name").toLocalIterator()
+    return streams.line_stream(spark, (f"{r['c_name']} {r['c_custkey']}\n" for r in customers), scratch(spark))
 
 
-@query("SELECT range AS a, CAST(range % 3 AS VARCHAR) AS b FROM range(50)")
+@query("SELECT c_custkey AS a, c_name AS b FROM customer")
 def object_stream(spark, sf):
-    return streams.object_stream(spark, ({"a": i, "b": str(i % 3)} for i in builtins.range(50)), "a long, b string", scratch(spark))
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name").toLocalIterator()
+    return streams.object_stream(spark, ({"a": r["c_custkey"], "b": r["c_name"]} for r in customers), "a long, b string", scratch(spark))
 
 
 # Sinks
@@ -389,44 +440,110 @@ def save_parquet(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("""SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS line FROM nation""")
+_LINE = """SELECT '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}' AS line, row_number() OVER (ORDER BY c_custkey) AS _rank FROM customer"""
+
+
+@query(_LINE)
 def stream(spark, sf):
-    lines = list(sinks.stream(table(spark, sf, "nation").select("n_nationkey", "n_name"), "n_nationkey"))
-    return spark.createDataFrame([(x,) for x in lines], "line string")
+    lines = sinks.stream(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey")
+    return spark.createDataFrame([(x, i) for i, x in enumerate(lines, 1)], "line string, _rank long")
+
+
+@query(_LINE)
+def stream_gzip(spark, sf):
+    import gzip
+
+    members = sinks.stream_gzip(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey")
+    lines = gzip.decompress(b"".join(members)).decode().splitlines()
+    return spark.createDataFrame([(x, i) for i, x in enumerate(lines, 1)], "line string, _rank long")
+
+
+@query("SELECT 'id;name' AS value UNION ALL SELECT c_custkey || ';' || c_name FROM customer")
+def save_csv_header(spark, sf):
+    path = scratch(spark)
+    sinks.save_csv(table(spark, sf, "customer").select("c_custkey", "c_name").coalesce(1), path, sep=";", header="id;name")
+    return files.text_file(spark, path)
+
+
+@query("SELECT c_name AS value FROM customer WHERE c_custkey % 3 = 0")
+def text_file_max_files(spark, sf):
+    """The first file by name, of three."""
+    path = scratch(spark)
+    for i in (0, 1, 2):
+        table(spark, sf, "customer").where(F.col("c_custkey") % 3 == i).select("c_name").coalesce(1).write.text(f"{path}/part{i}")
+    return files.text_file(spark, f"{path}/part*", max_files=1)
 
 
 # Partitioning, persistence, sampling
 
 
-@query("SELECT o_custkey AS key, o_orderkey AS value FROM orders")
+def _placed(df: DataFrame) -> DataFrame:
+    return df.withColumn("part", F.spark_partition_id())
+
+
+@query("SELECT key, n, 1 AS parts, true AS several FROM (SELECT o_custkey AS key, count(*) AS n FROM orders GROUP BY 1)")
 def partition_by_hash(spark, sf):
-    return partitioning.partition_by(pairs(spark, sf, "orders", "o_custkey", "o_orderkey"), partitioning.HashPartitioner(4))
+    """Each key lies in one partition, and there are several."""
+    placed = _placed(partitioning.partition_by(pairs(spark, sf, "orders", "o_custkey", "o_orderkey"), partitioning.HashPartitioner(4)))
+    by_key = placed.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("part").cast("int").alias("parts"), F.min("part").alias("part"))
+    return by_key.withColumn("several", F.size(F.collect_set("part").over(Window.partitionBy())) == 4).drop("part")
 
 
-@query("SELECT o_custkey AS key, o_orderkey AS value FROM orders")
+@query("SELECT 4 AS parts, count(*) AS n, true AS apart FROM orders")
 def partition_by_range(spark, sf):
-    return partitioning.partition_by(pairs(spark, sf, "orders", "o_custkey", "o_orderkey"), partitioning.RangePartitioner(4))
+    """The partitions' ranges of keys follow one another."""
+    placed = _placed(partitioning.partition_by(pairs(spark, sf, "orders", "o_custkey", "o_orderkey"), partitioning.RangePartitioner(4)))
+    ranges = placed.groupBy("part").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"))
+    after = ranges.withColumn("before", F.lag("high").over(Window.orderBy("part")))
+    return after.agg(F.count("*").cast("int").alias("parts"), F.sum("n").alias("n"), F.bool_and(F.coalesce(F.col("before") < F.col("low"), F.lit(True))).alias("apart"))
 
 
-@query("SELECT o_custkey AS key, o_orderkey AS value FROM orders")
+@query("SELECT o_custkey AS key, o_orderkey AS value, CAST(o_custkey % 3 AS INTEGER) AS part FROM orders")
 def partition_by_custom(spark, sf):
-    return partitioning.partition_by(pairs(spark, sf, "orders", "o_custkey", "o_orderkey"), partitioning.CustomPartitioner(3, lambda k: k % 3))
+    """The partition of each row is the number that the expression gives."""
+    return _placed(partitioning.partition_by(pairs(spark, sf, "orders", "o_custkey", "o_orderkey"), partitioning.CustomPartitioner(3, lambda k: k % 3)))
 
 
-@query("SELECT count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS s FROM supplier")
+@query("SELECT count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS s, true AS held, false AS after FROM supplier")
 def persist(spark, sf):
     rows = partitioning.persist(table(spark, sf, "supplier"))
-    return rows.agg(F.count("*").alias("n"), F.sum("s_suppkey").alias("s"))
+    n, total = rows.agg(F.count("*"), F.sum("s_suppkey")).first()
+    held = rows.storageLevel.useMemory
+    partitioning.unpersist(rows)
+    return spark.createDataFrame([(n, total, held, rows.storageLevel.useMemory)], "n long, s long, held boolean, after boolean")
 
 
-@query()
+def _bounds(df: DataFrame, drawn: DataFrame, again: DataFrame, mean: float, variance: float) -> DataFrame:
+    """Whether a draw has about the rows it should (4 sigma), all of the table, and comes again with its seed."""
+    total = df.agg(F.count("*").alias("total"))
+    n = drawn.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"), F.sum("o_orderkey").alias("s"))
+    other = again.agg(F.count("*").alias("n2"), F.sum("o_orderkey").alias("s2"))
+    known = drawn.join(df, "o_orderkey", "left_anti").agg((F.count("*") == 0).alias("known"))
+    within = F.abs(F.col("n") - mean * F.col("total")) <= 4 * F.sqrt(variance * F.col("total"))
+    return total.crossJoin(n).crossJoin(other).crossJoin(known).select(within.alias("within"), ((F.col("n") == F.col("n2")) & (F.col("s") == F.col("s2"))).alias("repeats"), "known", (F.col("keys") < F.col("n")).alias("replaced"))
+
+
+@query("SELECT true AS within, true AS repeats, true AS known, false AS replaced")
 def sample(spark, sf):
-    return sampling.sample(table(spark, sf, "orders").select("o_orderkey"), False, 0.1, 7)
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    draw = lambda: sampling.sample(orders, False, 0.1, 7)
+    return _bounds(orders, draw(), draw(), 0.1, 0.09)
 
 
-@query()
+@query("SELECT true AS within, true AS repeats, true AS known, true AS replaced")
+def sample_with_replacement(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    draw = lambda: sampling.sample(orders, True, 0.5, 7)
+    return _bounds(orders, draw(), draw(), 0.5, 0.5)
+
+
+@query("SELECT 20 AS n, 20 AS keys, 0 AS unknown, true AS repeats, 30 AS replaced")
 def take_sample(spark, sf):
-    return spark.createDataFrame(sampling.take_sample(table(spark, sf, "orders").select("o_orderkey"), False, 20, 7), "o_orderkey long")
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    drawn, again = (sampling.take_sample(orders, False, 20, 7) for _ in "ab")
+    keys = {r[0] for r in drawn}
+    unknown = 20 - orders.where(F.col("o_orderkey").isin(list(keys))).count()
+    return spark.createDataFrame([(len(drawn), len(keys), unknown, drawn == again, len(sampling.take_sample(orders, True, 30, 7)))], "n int, keys int, unknown int, repeats boolean, replaced int")
 
 
 @query("SELECT o_orderkey FROM orders WHERE ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT % 10 < 2")
@@ -438,17 +555,19 @@ def hash_sample(spark, sf):
 
 
 def _points(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 4).cast("array<double>").alias("features"))
+    return table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
+
+
+_COMPONENTS = "SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings"
 
 
 @query(
-    """WITH p AS (SELECT vec_id, unnest([1, 2, 3, 4]) AS i, unnest(embedding[1:4])::DOUBLE AS x FROM embeddings), s AS (SELECT i, avg(x) AS m, stddev_pop(x) AS d FROM p GROUP BY i)
-       SELECT vec_id, round(max((x - m) / d) FILTER (i = 1), 6) + 0.0 AS z1, round(max((x - m) / d) FILTER (i = 4), 6) + 0.0 AS z4 FROM p JOIN s USING (i) GROUP BY vec_id"""
+    f"""WITH p AS ({_COMPONENTS}), s AS (SELECT i, avg(x) AS m, stddev_pop(x) AS d FROM p GROUP BY i)
+       SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round((x - m) / d, 6) + 0.0 AS z FROM p JOIN s USING (i)"""
 )
 def scaler(spark, sf):
     points = _points(spark, sf)
-    z = StandardScaler.fit(points).transform()
-    return points.select("vec_id", (F.round(F.get(z, F.lit(0)), 6) + 0.0).alias("z1"), (F.round(F.get(z, F.lit(3)), 6) + 0.0).alias("z4"))
+    return points.select("vec_id", F.posexplode(StandardScaler.fit(points).transform()).alias("i", "z")).withColumn("z", F.round("z", 6) + 0.0)
 
 
 def _labelled(spark, sf):
@@ -473,28 +592,109 @@ def lr(spark, sf):
     return spark.createDataFrame([(i, w) for i, w in enumerate([model.intercept, *model.weights])], "i int, w double")
 
 
-_MEANS = [[-0.1, 0.0, 0.0, 0.0], [0.1, 0.1, 0.0, 0.0], [0.0, -0.1, 0.1, 0.0]]
-_ASSIGN = "SELECT vec_id, x, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS cluster FROM (SELECT vec_id, x, " + ", ".join("+".join(f"(x[{j + 1}] - ({m}::DOUBLE)) * (x[{j + 1}] - ({m}::DOUBLE))" for j, m in enumerate(mean)) + f" AS d{i}" for i, mean in enumerate(_MEANS)) + " FROM (SELECT vec_id, list_transform(embedding[1:4], lambda v: v::DOUBLE) AS x FROM embeddings))"
+@query(
+    "WITH "
+    + "\n, ".join(
+        [
+            "p AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE -1.0 END AS y, 1.0::DOUBLE AS x0, l_quantity / 50 AS x1, l_discount * 10 AS x2, l_tax * 10 AS x3 FROM lineitem)",
+            *(
+                f"{loss}_{penalty}_{t} AS ("
+                + (
+                    "SELECT 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS w3"
+                    if t == 0
+                    else "SELECT "
+                    + ", ".join(f"w{i} - {1 / t**0.5!r}::DOUBLE * (avg(g * x{i}) + " + {"l2": f"0.001 * w{i}", "l1": f"0.001 * sign(w{i})", "none": "0"}[penalty] + f") AS w{i}" for i in (0, 1, 2, 3))
+                    + " FROM (SELECT *, " + {"hinge": "CASE WHEN y * m < 1 THEN -y ELSE 0.0 END", "log": "1 / (1 + exp(-m)) - greatest(y, 0)", "square": "m - y"}[loss] + f" AS g FROM (SELECT *, w0 * x0 + w1 * x1 + w2 * x2 + w3 * x3 AS m FROM p, {loss}_{penalty}_{t - 1})) GROUP BY w0, w1, w2, w3"
+                )
+                + ")"
+                for loss in LOSSES
+                for penalty in PENALTIES
+                for t in (0, 1, 2, 3)
+            ),
+        ]
+    )
+    + "\n"
+    + " UNION ALL ".join(f"SELECT '{loss}' AS loss, '{penalty}' AS penalty, round(w0, 6) AS w0, round(w1, 6) AS w1, round(w2, 6) AS w2, round(w3, 6) AS w3 FROM {loss}_{penalty}_3" for loss in LOSSES for penalty in PENALTIES)
+)
+def sgd_losses(spark, sf):
+    """Three steps of every loss with every penalty."""
+    signed = _labelled(spark, sf).persist()
+    out = []
+    for loss in LOSSES:
+        rows = signed.withColumn("label", F.greatest("label", F.lit(0.0))) if loss == "log" else signed
+        for penalty in PENALTIES:
+            model = SGDLinearModel(loss=loss, penalty=penalty).fit(rows, 3)
+            out.append((loss, penalty, *(round(w, 6) for w in (model.intercept, *model.weights))))
+    signed.unpersist()
+    return spark.createDataFrame(out, "loss string, penalty string, w0 double, w1 double, w2 double, w3 double")
 
 
-@query(f"SELECT vec_id, cluster FROM ({_ASSIGN})")
+@query("SELECT l_orderkey, round(0.5 - l_quantity / 50 + 2 * l_discount * 10 + 0.25 * l_tax * 10, 6) AS margin, round(1 / (1 + exp(-(0.5 - l_quantity / 50 + 2 * l_discount * 10 + 0.25 * l_tax * 10))), 6) AS proba FROM lineitem")
+def sgd_predict(spark, sf):
+    items = table(spark, sf, "lineitem").select("l_orderkey", F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10).alias("features"))
+    margin, proba = (SGDLinearModel(weights=[-1.0, 2.0, 0.25], intercept=0.5, proba=p).predict() for p in (False, True))
+    return items.select("l_orderkey", F.round(margin, 6).alias("margin"), F.round(proba, 6).alias("proba"))
+
+
+def _first_means(spark, sf) -> list[list[float]]:
+    """The vectors of the three smallest ids."""
+    return [list(r["features"]) for r in _points(spark, sf).orderBy("vec_id").limit(3).collect()]
+
+
+def _lloyd(rounds: int) -> str:
+    """CTEs p, m0, a1, m1, ...: the components, the means and the assignments of each round."""
+    out = [f"p AS ({_COMPONENTS})", "m0 AS (SELECT k - 1 AS c, i, x AS m FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings) USING (vec_id) WHERE k <= 3)"]
+    for t in (1, 2, 3)[:rounds]:
+        out.append(f"a{t} AS (SELECT vec_id, arg_min(c, (d, c)) AS c FROM (SELECT vec_id, c, sum((x - m) * (x - m)) AS d FROM p JOIN m{t - 1} USING (i) GROUP BY vec_id, c) GROUP BY vec_id)")
+        out.append(f"m{t} AS (SELECT c, i, avg(x) AS m, count(*) AS n FROM p JOIN a{t} USING (vec_id) GROUP BY c, i)")
+    return "WITH " + ", ".join(out)
+
+
+@query(_lloyd(1) + " SELECT vec_id, CAST(c AS INTEGER) AS cluster FROM a1")
 def kmeans_assign(spark, sf):
-    return _points(spark, sf).select("vec_id", KMeans(3, _MEANS).predict().alias("cluster"))
+    return _points(spark, sf).select("vec_id", KMeans(3, _first_means(spark, sf)).predict().alias("cluster"))
 
 
-@query(f"SELECT cluster, count(*) AS n, round(avg(x[1]), 6) AS m0, round(avg(x[2]), 6) AS m1 FROM ({_ASSIGN}) GROUP BY cluster")
+@query(_lloyd(1) + " SELECT CAST(c AS INTEGER) AS cluster, n, CAST(i - 1 AS INTEGER) AS i, round(m, 6) AS mean FROM m1")
 def kmeans_step(spark, sf):
-    return KMeans(3, _MEANS).step(_points(spark, sf)).select("cluster", "n", F.round("m0", 6).alias("m0"), F.round("m1", 6).alias("m1"))
+    step = KMeans(3, _first_means(spark, sf)).step(_points(spark, sf))
+    means = F.posexplode(F.array(*[c for c in step.columns if c not in ("cluster", "n")])).alias("i", "mean")
+    return step.select("cluster", "n", means).withColumn("mean", F.round("mean", 6))
+
+
+@query(_lloyd(3) + " SELECT CAST(c AS INTEGER) AS cluster, CAST(i - 1 AS INTEGER) AS i, round(m, 6) AS mean FROM m3")
+def kmeans_fit(spark, sf):
+    """Three rounds from given means."""
+    model = KMeans(3, _first_means(spark, sf), max_mse=0.0, max_iterations=3).fit(_points(spark, sf))
+    return spark.createDataFrame([(c, i, round(x, 6)) for c, m in enumerate(model.means) for i, x in enumerate(m)], "cluster int, i int, mean double")
+
+
+def _scored(spark, sf):
+    return table(spark, sf, "labels").select(((F.col("doc_id") % 97) / F.lit(97.0)).alias("prediction"), F.col("quality").alias("label"))
 
 
 @query(
     """WITH p AS (SELECT (doc_id % 97) / 97.0::DOUBLE AS p, quality > 0 AS y FROM labels), t AS (SELECT range AS i, range / 10::DOUBLE AS threshold FROM range(10)),
             c AS (SELECT threshold, count(*) FILTER (p > threshold AND y) AS tp, count(*) FILTER (p > threshold AND NOT y) AS fp, count(*) FILTER (p <= threshold AND y) AS fn, count(*) FILTER (p <= threshold AND NOT y) AS tn FROM p, t GROUP BY threshold)
-       SELECT threshold, tp, fp, fn, tn, round(tp / (tp + fp), 6) AS "precision", round(tp / (tp + fn), 6) AS recall, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy FROM c"""
+       SELECT threshold, tp, fp, fn, tn, round(tp / (tp + fp), 6) AS "precision", round(tp / (tp + fn), 6) AS recall, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy,
+              round(tn / (tn + fp), 6) AS specificity, round(fp / (fp + tn), 6) AS fpr, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(tp / (tp + fn) + tn / (tn + fp) - 1, 6) AS j FROM c"""
 )
 def metrics(spark, sf):
-    scored = table(spark, sf, "labels").select(((F.col("doc_id") % 97) / F.lit(97.0)).alias("prediction"), F.col("quality").alias("label"))
-    return with_rates(confusion(scored)).select("threshold", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "accuracy")])
+    rates = ("precision", "recall", "accuracy", "specificity", "fpr", "f1", "j")
+    return with_rates(confusion(_scored(spark, sf))).select("threshold", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in rates])
+
+
+@query(
+    """WITH p AS (SELECT (doc_id % 97) / 97.0::DOUBLE AS p, quality > 0 AS y FROM labels), t AS (SELECT range / 10::DOUBLE AS threshold FROM range(10)),
+            c AS (SELECT threshold, count(*) FILTER (p > threshold AND y) AS tp, count(*) FILTER (p > threshold AND NOT y) AS fp, count(*) FILTER (p <= threshold AND y) AS fn, count(*) FILTER (p <= threshold AND NOT y) AS tn FROM p, t GROUP BY threshold),
+            r AS (SELECT threshold, fp / (fp + tn) AS fpr, tp / (tp + fn) AS recall, tp / (tp + fp) AS prec, 2 * tp / (2 * tp + fp + fn) AS f1 FROM c),
+            a AS (SELECT (fpr - lag(fpr) OVER w) * (recall + lag(recall) OVER w) / 2 AS area FROM r WINDOW w AS (ORDER BY fpr, threshold)),
+            b AS (SELECT (recall - lag(recall) OVER w) * (prec + lag(prec) OVER w) / 2 AS area FROM r WINDOW w AS (ORDER BY recall, threshold))
+       SELECT round((SELECT sum(area) FROM a), 6) AS au_roc, round((SELECT sum(area) FROM b), 6) AS au_pr, (SELECT arg_max(threshold, (f1, -threshold)) FROM r) AS threshold"""
+)
+def areas(spark, sf):
+    m = classification_metrics(_scored(spark, sf))
+    return spark.createDataFrame([(round(m.au_roc, 6), round(m.au_pr, 6), m.threshold)], "au_roc double, au_pr double, threshold double")
 
 
 # Extensions

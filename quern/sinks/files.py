@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -72,7 +71,3 @@ def stream_gzip(df: DataFrame, *order: str) -> Iterator[bytes]:
             held = []
     if held:
         yield gzip.compress("".join(held).encode())
-
-
-def objects(df: DataFrame, *order: str) -> Iterator[object]:
-    return (json.loads(line) for line in stream(df, *order))

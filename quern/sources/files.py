@@ -23,15 +23,17 @@ def text_file(spark: SparkSession, path: str, max_files: int | None = None, parq
     """Lines as ``value`` (blank ones kept, CR, LF or CRLF end them); gzip by suffix; globs and
     folders; ``s3a://``, ``abfss://``, ``hdfs://`` by Hadoop's connectors. ``max_files`` takes
     the first by name. Paths that end in ``.parquet`` are read as Parquet. ``positions`` adds
-    ``_file`` and ``_pos``, which order lines within the file split that Spark reads.
+    ``_file`` and ``_pos`` (where the file's split starts, and the line's place within it), which
+    order lines by file name and then as they stand, however splits are packed into partitions.
     """
     paths = [path.rstrip("/") or "/"] if max_files is None else list_files(spark, path)[:max_files]
     if parquet or path.endswith(".parquet"):
         return spark.read.parquet(*paths)
     if not paths:
-        return spark.createDataFrame([], "value string, _file string, _pos long" if positions else "value string")
+        return spark.createDataFrame([], "value string, _file string, _pos array<long>" if positions else "value string")
     lines = spark.read.text(paths)
-    return lines.select("value", F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_pos")) if positions else lines
+    place = F.array(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return lines.select("value", F.col("_metadata.file_path").alias("_file"), place.alias("_pos")) if positions else lines
 
 
 def json_file(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:

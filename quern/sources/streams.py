@@ -15,7 +15,11 @@ def _spool(spark: SparkSession, pieces: Iterable[str], folder: str | None) -> st
     """Writes the pieces to a new file below ``folder``, which all executors must share, and
     renames it when it is whole. Default: the shared checkpoint folder, else (on one machine) a
     temporary one. Remote folders are written by Hadoop's file systems."""
-    folder = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-stream-")
+    folder = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("on a cluster, give a folder that all executors share, or set spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="quern-stream-")
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(folder, f"stream-{os.urandom(8).hex()}")
     part = target.suffix(".part")

@@ -196,6 +196,71 @@ def test_for_each(sc):
     sc.range(4).for_each(lambda r: None)
 
 
+def test_for_each_runs_on_every_row(sc, spark):
+    seen = spark.sparkContext.accumulator(0)
+    sc.range(5).for_each(lambda r: seen.add(r["value"] + 1))
+    assert seen.value == 15
+
+
+def test_text_order_is_by_file(sc, tmp_path):
+    """Small before large, plain and gzip: Spark packs the large file first."""
+    (tmp_path / "a.txt").write_text("a0\na1\n")
+    (tmp_path / "b.txt").write_text("".join(f"b{i}\n" for i in range(5000)))
+    (tmp_path / "c.txt.gz").write_bytes(gzip.compress("".join(f"c{i}\n" for i in range(300)).encode()))
+    (tmp_path / "d.txt").write_text("d0\n")
+    want = ["a0", "a1", *(f"b{i}" for i in range(5000)), *(f"c{i}" for i in range(300)), "d0"]
+    lines = sc.text_file(f"{tmp_path}/*.txt*")
+    assert flat(lines.collect()) == want
+    assert lines.first()[0] == "a0" and flat(lines.take(4)) == want[:4] and flat(lines.top(3)) == want[-3:]
+    assert flat(lines.flat_map(F.split("value", "b")).take(4)) == ["a0", "a1", "", "0"]
+    assert flat(lines.union(lines).collect()) == want + want
+
+
+def test_sort_options(sc):
+    data = sc.parallelize([(2, "x"), (None, "y"), (1, "z")], "key int, value string")
+    assert [r["key"] for r in data.sort_by_key(nulls_first=False).collect()] == [1, 2, None]
+    assert [r["key"] for r in data.sort_by_key(False, nulls_first=True).collect()] == [None, 2, 1]
+    assert [r["key"] for r in data.sort_by_key(nulls_first=False).top(2)] == [2, None]
+    ranges = data.sort_by("value", partitions=2)
+    assert ranges.df.rdd.getNumPartitions() == 2 and [r["value"] for r in ranges.collect()] == ["x", "y", "z"]
+
+
+def test_facade(sc, tmp_path):
+    a, b = kv(sc, [("x", 1), ("y", 2), ("y", 3), (None, 4)]), kv(sc, [("y", 5), (None, 6), ("z", 7)])
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, a.full_outer_join(b).collect()), key=key) == sorted([("x", 1, None), ("y", 2, 5), ("y", 3, 5), (None, 4, 6), ("z", None, 7)], key=key)
+    assert sorted(r["value"] for r in a.semi_join(b).collect()) == [2, 3, 4] and [r["value"] for r in a.anti_join(b).collect()] == [1]
+    assert [r["value"] for r in a.top_by(2, "value")] == [4, 3]
+    assert sorted(flat(a.flat_map_udf(lambda r: [{"v": r["value"]}] * 2, "v long").collect())) == [1, 1, 2, 2, 3, 3, 4, 4]
+    assert a.hash_sample("value", 10, 10).count() == 4
+    (tmp_path / "j.json").write_text('{"a": 1}\n{"a": 2}\n')
+    (tmp_path / "c.csv").write_text("a,b\n1,x\n")
+    assert sorted(flat(sc.json_file(str(tmp_path / "j.json"), "a long").collect())) == [1, 2]
+    assert tuples(sc.csv_file(str(tmp_path / "c.csv"), "a long, b string", header=True)) == [(1, "x")]
+
+
+def test_require_and_env(sc, tmp_path):
+    (tmp_path / "shipped_module.py").write_text("def twice(x):\n    return 2 * x\n")
+    sc.require(str(tmp_path / "shipped_module.py"))
+
+    def use(r):
+        import shipped_module
+
+        return {"v": shipped_module.twice(r["value"])}
+
+    assert sorted(flat(sc.range(3).map_udf(use, "v long").collect())) == [0, 2, 4]
+    assert isinstance(sc.env, dict)
+
+
+def test_folds_by_functions(sc):
+    data = sc.parallelize([(k, i) for i in range(300) for k in ("a", None, f"k{i % 7}")], "key string, value long", 5)
+    joined = data.aggregate_by_key_udf([], lambda a, v: [*a, v], lambda a, b: a + b, "key string, value array<long>")
+    got = {r["key"]: sorted(r["value"]) for r in joined.collect()}
+    assert got["a"] == got[None] == list(range(300)) and got["k3"] == list(range(3, 300, 7))
+    assert sc.parallelize([], "key string, value long").aggregate_by_key_udf(0, lambda a, v: a + v, lambda a, b: a + b, "key string, value long").count() == 0
+    assert sc.parallelize([], "bigint").aggregate_udf(0, lambda a, r: a + r[0], lambda a, b: a + b) == 0
+
+
 def test_text_files(sc, tmp_path):
     for i, part in enumerate(["a\nb\r\n\nc", "d\n"]):
         (tmp_path / f"p{i}.txt").write_bytes(part.encode())

@@ -40,6 +40,17 @@ def test_sgd_separates(spark, loss, label, penalty):
     assert [r[0] > 0 for r in df.select(model.predict()).collect()] == [True, True, False, False]
 
 
+@pytest.mark.parametrize("loss", ["hinge", "log", "square"])
+@pytest.mark.parametrize("intercept", [True, False])
+def test_engines_agree(spark, loss, intercept):
+    rows = [(float(i % 2) if i % 11 else None, [i / 50, None if i % 5 == 0 else (i % 7) / 7, 1.0 - i / 90]) for i in range(100)]
+    df = spark.createDataFrame(rows, "label double, features array<double>")
+    a, b = (SGDLinearModel(loss=loss, fit_intercept=intercept).fit(df, 4, engine=e) for e in ("blocks", "columns"))
+    assert [a.intercept, *a.weights] == pytest.approx([b.intercept, *b.weights], rel=1e-9, abs=1e-12)
+    with pytest.raises(ValueError):
+        SGDLinearModel().fit(df, 1, engine="rows")
+
+
 def test_sgd_options(spark):
     with pytest.raises(ValueError):
         SGDLinearModel(loss="none")

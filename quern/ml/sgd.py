@@ -96,7 +96,7 @@ class SGDLinearModel:
         """Rows packed into matrices, dealt to all cores, and the gradient over them."""
         loss, intercept = self.loss, self.fit_intercept
         width = n + 1
-        filled = F.transform(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)), lambda i: F.coalesce(F.get("x", i).cast("double"), F.lit(0.0)))
+        filled = F.array(*[F.coalesce(F.get("x", F.lit(i)).cast("double"), F.lit(0.0)) for i in range(max(n, 1))])
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

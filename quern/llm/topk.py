@@ -222,7 +222,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     size = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q"), F.max(F.size("v")).alias("d"), F.max(largest).alias("m")).first()
     dims, cores = size["d"] or 1, vectors.sparkSession.sparkContext.defaultParallelism
     blocks = max(1, -(-size["n"] // max(1, min(row_block, BLOCK_BYTES // (8 * dims)))))
-    parts = max(1, -(-size["q"] // query_block) if query_block else min(2 * cores // blocks, -(-size["q"] // 64)))
+    parts = max(1, -(-size["q"] // query_block) if query_block else min(cores // blocks, -(-size["q"] // 64)))
     kind = next(t for t, most in (("smallint", 1 << 15), ("int", 1 << 31), ("bigint", 1 << 63)) if (size["m"] or 0) < most)
     v = F.col("v").cast(f"array<{kind}>").alias("v")
     # Rows that repeat an id and a vector are dealt by the place that they are read from as well.

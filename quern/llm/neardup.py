@@ -166,20 +166,20 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 
 def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (key, node) rows, sorted: (key, node, hub) of keys with several nodes; the hub is the first.
+    """Of (key, node, pos) rows, sorted: (key, node, pos, hub) of keys with several nodes; the hub is the first.
 
     Only the first and the last row of a key are held from batch to batch.
     """
-    held = np.zeros((2, 0), np.int64)
+    held = np.zeros((3, 0), np.int64)
     told = False  # whether the held rows are out already
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
-        fresh = np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)]
+        rows = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
+        fresh = np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)]
         out = fresh.copy()
         out[: held.shape[1]] = not told
-        key, node = rows
+        key, node, pos = rows
         start = np.r_[True, key[1:] != key[:-1]]
         group = np.cumsum(start) - 1
         size = np.bincount(group, weights=fresh)
@@ -189,17 +189,18 @@ def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = bool(size[-1] > 1)
         last = len(key) - 1
         held = rows[:, [first_of_last, last]] if node[last] != node[first_of_last] else rows[:, [first_of_last]]
-        yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(node[out]), pa.array(hub[out])], names=["key", "node", "hub"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (key, node, pos, hub)], names=["key", "node", "pos", "hub"])
 
 
 def _shared_keys(marked: DataFrame) -> DataFrame:
-    """(key, node, hub): the nodes of each key that has several, and the smallest of them."""
-    keyed = marked.select(F.explode("keys").alias("key"), "node")
-    rare = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_hubs, "key long, node long, hub long")
+    """(key, node, pos, hub): the nodes of each key that has several, its place in their order, and
+    the smallest of the nodes."""
+    keyed = marked.select(F.posexplode("keys").alias("pos", "key"), "node").select("key", "node", "pos")
+    rare = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_hubs, "key long, node long, pos long, hub long")
     # The common keys are at most MAX_COMMON, so their hubs may be broadcast and no text is dealt by one.
-    known = marked.select(F.explode("common").alias("key"), "node")
+    known = marked.select(F.posexplode("common").alias("i", "key"), "node", F.size("keys").alias("n")).select("key", "node", (F.col("i") + F.col("n")).cast("long").alias("pos"))
     hubs = known.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
-    return rare.unionAll(known.join(F.broadcast(hubs), "key").select("key", "node", "hub"))
+    return rare.unionAll(known.join(F.broadcast(hubs), "key").select("key", "node", "pos", "hub"))
 
 
 def _pruned(pairs: DataFrame, first: DataFrame) -> DataFrame:
@@ -251,16 +252,17 @@ FEW = 48
 
 def _pairs_in_groups(every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Pairs (a, b) of nodes that may be similar and have unlike roots, of rows (key, part, side,
-    node, root, size, known, sketch) sorted by key and part, with the roots (r < q), the number of sketch
+    node, root, size, known, pos, sketch) sorted by key and part, with the roots (r < q), the number of sketch
     bits that differ (d) and whether the roots have more pairs (more). Of two roots only the
     closest pair is handed on, unless ``every``."""
 
-    def allowed(size: np.ndarray, known: np.ndarray, sketch: np.ndarray, x: np.ndarray, y: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray | int]:
+    def allowed(size: np.ndarray, known: np.ndarray, pos: np.ndarray, sketch: np.ndarray, x: np.ndarray, y: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray | int]:
         """Those of the pairs of rows x and y that may be similar, and the bits that differ."""
         a, b = size[x], size[y]
         shared = -(-SIMILARITY[0] * (a + b) // sum(SIMILARITY))  # at least, if similar
         least = np.minimum(shared - _but_prefix(a), shared - _but_prefix(b))
         fits = (SIMILARITY[1] * np.minimum(a, b) >= SIMILARITY[0] * np.maximum(a, b)) & (np.minimum(known[x], known[y]) >= least)
+        fits &= (pos[x] <= a - shared) & (pos[y] <= b - shared)  # they share such a key, if any
         x, y = x[fits], y[fits] if isinstance(y, np.ndarray) else y
         differ = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
         fits = differ * sum(SIMILARITY) <= (SIMILARITY[1] - SIMILARITY[0]) * (size[x] + size[y])
@@ -268,21 +270,21 @@ def _pairs_in_groups(every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
     def together(rows: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """All pairs of small groups: each row with the next one, the next but one, ..."""
-        key, part, side, node, root, size, known = rows
+        key, part, side, node, root, size, known, pos = rows
         group = np.r_[0, np.cumsum((np.diff(key) != 0) | (np.diff(part) != 0))]
         at, step = np.arange(len(node) - 1), 1
         while len(at):
             at = at[at + step < len(node)]
             at = at[group[at] == group[at + step]]
             x = at[((side[at] == 0) | (side[at] != side[at + step])) & (root[at] != root[at + step])]
-            x, y, differ = allowed(size, known, sketch, x, x + step)
+            x, y, differ = allowed(size, known, pos, sketch, x, x + step)
             yield node[x], node[y], root[x], root[y], differ
             step += 1
 
     def one_by_one(rows: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """All pairs of one group. Rows of its commonest root meet only rows of other roots."""
         order = np.argsort(rows[5], kind="stable")
-        _, _, side, node, root, size, known = rows[:, order]
+        _, _, side, node, root, size, known, pos = rows[:, order]
         sketch = sketch[order]
         _, number, members = np.unique(root, return_inverse=True, return_counts=True)
         largest = int(members.argmax())
@@ -292,7 +294,7 @@ def _pairs_in_groups(every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         for y in np.flatnonzero(number != largest).tolist():
             x = np.arange(low[y], high[y])
             x = x[(number[x] != number[y]) & ((number[x] == largest) | (x > y)) & ((side[x] == 0) | (side[x] != side[y]))]
-            x, of, differ = allowed(size, known, sketch, x, y)
+            x, of, differ = allowed(size, known, pos, sketch, x, y)
             yield node[x], node[of], root[x], root[of], differ
 
     def finished(rows: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -326,8 +328,8 @@ def _pairs_in_groups(every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:7]])
-            held.append((rows, batch.column(7).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH_LONGS)))
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:8]])
+            held.append((rows, batch.column(8).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH_LONGS)))
             if (held[0][0][:2, 0] == rows[:2, -1]).all():
                 continue  # all of one group as yet
             rows, sketch = np.concatenate([r for r, _ in held], axis=1), np.concatenate([s for _, s in held])
@@ -341,7 +343,7 @@ def _pairs_in_groups(every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 
 def _between_roots(rest: DataFrame, info: DataFrame, block: int, every: bool) -> DataFrame:
-    """Candidates (a, b, r, q, d, more) of unlike roots of ``rest`` (key, node, root) that share a key."""
+    """Candidates (a, b, r, q, d, more) of unlike roots of ``rest`` (key, node, pos, root) that share a key."""
     open_keys = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / F.lit(block)).cast("long").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     # A member of block m meets each block o in the part (min, max); within its own, as side 0.
@@ -349,7 +351,8 @@ def _between_roots(rest: DataFrame, info: DataFrame, block: int, every: bool) ->
     # A node shares no more keys with nodes of other roots than it has open ones.
     known = F.count("*").over(Window.partitionBy("node"))
     dealt = rest.join(open_keys, "key").withColumn("known", known).join(info, "node").withColumn("m", mine)
-    rows = dealt.select("key", "node", "root", "size", "known", "sketch", F.explode(parts).alias("p")).select("key", F.col("p.part").alias("part"), F.col("p.side").alias("side"), "node", "root", "size", "known", "sketch")
+    rows = dealt.select("key", "node", "root", "size", "known", "pos", "sketch", F.explode(parts).alias("p"))
+    rows = rows.select("key", F.col("p.part").alias("part"), F.col("p.side").alias("side"), "node", "root", "size", "known", "pos", "sketch")
     return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_pairs_in_groups(every), "a long, b long, r long, q long, d long, more boolean")
 
 
@@ -369,7 +372,7 @@ def roots_of(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]
     before = components(_verified(_pruned(by_print.unionAll(same_print).unionAll(by_key), first), docs))
 
     # The closest pair of each two components that share a key.
-    rest = cut_lineage(shared.join(before, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    rest = cut_lineage(shared.join(before, "node", "left").select("key", "node", "pos", F.coalesce("root", "node").alias("root")))
     order = F.col("d") * F.lit(1 << 50) + F.pmod(F.xxhash64("a", "b"), F.lit(1 << 50))
     pair = F.xxhash64("a", "b")
     asked = _between_roots(rest, info, block, False).groupBy("r", "q").agg(F.min_by("a", order).alias("a"), F.min_by("b", order).alias("b"), (F.bool_or("more") | (F.min(pair) != F.max(pair))).alias("many"))

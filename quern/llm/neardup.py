@@ -13,7 +13,8 @@ can only underestimate how much two sets differ, prune candidates; the words con
 Scale: one pass over the texts makes all keys. Equal texts are one node, named by a 64-bit hash of
 the text. Each text first meets one other (the member met at most of its keys), so rows grow with
 members; then, where a key has members of several components, only those meet, in pairs of blocks
-of about ``BLOCK`` members, and only the closest pair of two components becomes a row; only where
+of about ``BLOCK`` members, and only the closest pair of two components becomes a row, at the first
+key that the two texts share (their first ``FIRSTS`` keys tell which); only where
 that pair is no link all pairs of the two components do. Common shingles' keys are at most ``MAX_COMMON`` and
 combine before the shuffle. Texts are fetched for candidates only, behind a bitmap of fixed size.
 
@@ -248,16 +249,30 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 #: Groups of at most so many rows are compared together, step by step; larger ones row by row.
 FEW = 48
+#: Each row carries the first so many keys of its text that other roots have.
+FIRSTS = 8
+
+
+def _met_before(key: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether two texts surely share a key that comes before ``key``, by their first keys x and y (rows, ``FIRSTS``).
+
+    If two such lists have keys in common, the first of them is the first key that the texts share,
+    as each list holds all keys up to its last one.
+    """
+    common = (x[:, :, None] == y[:, None, :]).any(axis=2)
+    return common.any(axis=1) & (x[np.arange(len(x)), common.argmax(axis=1)] != key)
 
 
 def _pairs_in_groups(every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Pairs (a, b) of nodes that may be similar and have unlike roots, of rows (key, part, side,
-    node, root, size, known, pos, sketch) sorted by key and part, with the roots (r < q), the number of sketch
+    node, root, size, known, pos, sketch, firsts) sorted by key and part, with the roots (r < q), the number of sketch
     bits that differ (d) and whether the roots have more pairs (more). Of two roots only the
-    closest pair is handed on, unless ``every``."""
+    closest pair is handed on, unless ``every``. A pair whose first keys tell where it meets first
+    is handed on there only, so texts that share many keys don't make a row at each."""
 
-    def allowed(size: np.ndarray, known: np.ndarray, pos: np.ndarray, sketch: np.ndarray, x: np.ndarray, y: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray | int]:
+    def allowed(key: np.ndarray, size: np.ndarray, known: np.ndarray, pos: np.ndarray, wide: np.ndarray, x: np.ndarray, y: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray | int]:
         """Those of the pairs of rows x and y that may be similar, and the bits that differ."""
+        sketch, firsts = wide[:, :SKETCH_LONGS], wide[:, SKETCH_LONGS:]
         a, b = size[x], size[y]
         shared = -(-SIMILARITY[0] * (a + b) // sum(SIMILARITY))  # at least, if similar
         least = np.minimum(shared - _but_prefix(a), shared - _but_prefix(b))
@@ -266,9 +281,11 @@ def _pairs_in_groups(every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         x, y = x[fits], y[fits] if isinstance(y, np.ndarray) else y
         differ = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
         fits = differ * sum(SIMILARITY) <= (SIMILARITY[1] - SIMILARITY[0]) * (size[x] + size[y])
-        return x[fits], y[fits] if isinstance(y, np.ndarray) else np.full(int(fits.sum()), y), differ[fits]
+        x, y, differ = x[fits], y[fits] if isinstance(y, np.ndarray) else np.full(int(fits.sum()), y), differ[fits]
+        here = ~_met_before(key[x], firsts[x], firsts[y])
+        return x[here], y[here], differ[here]
 
-    def together(rows: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def together(rows: np.ndarray, wide: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """All pairs of small groups: each row with the next one, the next but one, ..."""
         key, part, side, node, root, size, known, pos = rows
         group = np.r_[0, np.cumsum((np.diff(key) != 0) | (np.diff(part) != 0))]
@@ -277,15 +294,15 @@ def _pairs_in_groups(every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             at = at[at + step < len(node)]
             at = at[group[at] == group[at + step]]
             x = at[((side[at] == 0) | (side[at] != side[at + step])) & (root[at] != root[at + step])]
-            x, y, differ = allowed(size, known, pos, sketch, x, x + step)
+            x, y, differ = allowed(key.view(np.uint64), size, known, pos, wide, x, x + step)
             yield node[x], node[y], root[x], root[y], differ
             step += 1
 
-    def one_by_one(rows: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def one_by_one(rows: np.ndarray, wide: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """All pairs of one group. Rows of its commonest root meet only rows of other roots."""
         order = np.argsort(rows[5], kind="stable")
-        _, _, side, node, root, size, known, pos = rows[:, order]
-        sketch = sketch[order]
+        key, _, side, node, root, size, known, pos = rows[:, order]
+        wide = wide[order]
         _, number, members = np.unique(root, return_inverse=True, return_counts=True)
         largest = int(members.argmax())
         # Sizes ascend, so what may be similar to a row lies in a range of them.
@@ -294,16 +311,16 @@ def _pairs_in_groups(every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         for y in np.flatnonzero(number != largest).tolist():
             x = np.arange(low[y], high[y])
             x = x[(number[x] != number[y]) & ((number[x] == largest) | (x > y)) & ((side[x] == 0) | (side[x] != side[y]))]
-            x, of, differ = allowed(size, known, pos, sketch, x, y)
+            x, of, differ = allowed(key.view(np.uint64), size, known, pos, wide, x, y)
             yield node[x], node[of], root[x], root[of], differ
 
-    def finished(rows: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def finished(rows: np.ndarray, wide: np.ndarray) -> Iterator[pa.RecordBatch]:
         cuts = np.r_[0, np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0)) + 1, rows.shape[1]]
         sizes = np.diff(cuts)
         small = np.repeat(sizes <= FEW, sizes)
-        found = list(together(rows[:, small], sketch[small])) if small.any() else []
+        found = list(together(rows[:, small], wide[small])) if small.any() else []
         for g in np.flatnonzero(sizes > FEW).tolist():
-            found += one_by_one(rows[:, cuts[g] : cuts[g + 1]], sketch[cuts[g] : cuts[g + 1]])
+            found += one_by_one(rows[:, cuts[g] : cuts[g + 1]], wide[cuts[g] : cuts[g + 1]])
             if sum(len(x[0]) for x in found) > 100_000:
                 yield told(found)
                 found = []
@@ -329,13 +346,14 @@ def _pairs_in_groups(every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             if not batch.num_rows:
                 continue
             rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:8]])
-            held.append((rows, batch.column(8).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH_LONGS)))
+            lists = (batch.column(i).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(batch), -1) for i in (8, 9))
+            held.append((rows, np.hstack(list(lists))))
             if (held[0][0][:2, 0] == rows[:2, -1]).all():
                 continue  # all of one group as yet
-            rows, sketch = np.concatenate([r for r, _ in held], axis=1), np.concatenate([s for _, s in held])
+            rows, wide = np.concatenate([r for r, _ in held], axis=1), np.concatenate([s for _, s in held])
             last = np.flatnonzero((rows[:2, :-1] != rows[:2, 1:]).any(axis=0))[-1] + 1
-            held = [(rows[:, last:], sketch[last:])]
-            yield from finished(rows[:, :last], sketch[:last])
+            held = [(rows[:, last:], wide[last:])]
+            yield from finished(rows[:, :last], wide[:last])
         if held:
             yield from finished(np.concatenate([r for r, _ in held], axis=1), np.concatenate([s for _, s in held]))
 
@@ -349,10 +367,16 @@ def _between_roots(rest: DataFrame, info: DataFrame, block: int, every: bool) ->
     # A member of block m meets each block o in the part (min, max); within its own, as side 0.
     parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct((F.least(o, F.col("m")) * F.col("blocks") + F.greatest(o, F.col("m"))).alias("part"), F.when(o == F.col("m"), 0).when(o > F.col("m"), 1).otherwise(2).cast("long").alias("side")))
     # A node shares no more keys with nodes of other roots than it has open ones.
-    known = F.count("*").over(Window.partitionBy("node"))
-    dealt = rest.join(open_keys, "key").withColumn("known", known).join(info, "node").withColumn("m", mine)
-    rows = dealt.select("key", "node", "root", "size", "known", "pos", "sketch", F.explode(parts).alias("p"))
-    rows = rows.select("key", F.col("p.part").alias("part"), F.col("p.side").alias("side"), "node", "root", "size", "known", "pos", "sketch")
+    of_node = Window.partitionBy("node")
+    known = F.count("*").over(of_node)
+    place = F.dense_rank().over(of_node.orderBy("pos", "key"))
+    first = F.sort_array(F.collect_set(F.when(F.col("place") <= FIRSTS, F.struct("pos", "key"))).over(of_node))["key"]
+    # Lists of one length: shorter ones repeat their first key.
+    first = F.concat(first, F.array_repeat(first[0], F.lit(FIRSTS) - F.size(first)))
+    opened = rest.join(open_keys, "key").withColumn("place", place).withColumn("known", known).withColumn("firsts", first)
+    dealt = opened.join(info, "node").withColumn("m", mine)
+    rows = dealt.select("key", "node", "root", "size", "known", "pos", "sketch", "firsts", F.explode(parts).alias("p"))
+    rows = rows.select("key", F.col("p.part").alias("part"), F.col("p.side").alias("side"), "node", "root", "size", "known", "pos", "sketch", "firsts")
     return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_pairs_in_groups(every), "a long, b long, r long, q long, d long, more boolean")
 
 

@@ -59,3 +59,17 @@ def test_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text.upper())], "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in neardup.keep_first(df).collect()) == ["1", "None"]
     assert neardup.keep_first(df.where("false")).count() == 0
+
+
+def test_a_pair_is_a_row_at_its_first_key_only(spark):
+    """Of two texts whose first keys tell where they meet, one row; with later keys only, one at each."""
+    sketch = [0] * neardup.SKETCH_LONGS
+    # Node: its keys, in order. The last one, of another size, has all of them.
+    lists = {1: range(1, 31), 2: range(3, 33), 3: range(29, 60), 4: range(1, 60)}
+    rest = spark.createDataFrame([(k, n, p, n) for n, keys in lists.items() for p, k in enumerate(keys)], "key long, node long, pos long, root long")
+    info = spark.createDataFrame([(n, 3000 if n == 4 else 300, sketch) for n in lists], "node long, size long, sketch array<long>")
+    for block in (neardup.BLOCK, 1):
+        rows = [(r["a"], r["b"]) for r in neardup._between_roots(rest, info, block, True).collect()]
+        # 1 and 2 share 28 keys, the first of them among the first of both; the others share 2 and 4, all
+        # behind the first ones of one text.
+        assert sorted(rows) == [(1, 2), *[(1, 3)] * 2, *[(2, 3)] * 4]
